@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -108,3 +109,14 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame
     salted = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(n)).cast("int"))
     reached = salted.select(*keys, "_salt").distinct().join(right, keys)
     return salted.join(reached, [*keys, "_salt"]).drop("_salt")
+
+
+def bites(texts: pa.Array, most: int = 6_000_000) -> Iterator[tuple[int, pa.Array]]:
+    """Slices of texts of about `most` bytes, whole texts each, with the row where they start."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(texts):
+        base = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, base + most, side="right")))
+        yield start, texts.slice(start, end - start)
+        start = end
