@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Words, bites, held_out, texts_of
 
@@ -97,14 +98,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str, features: Features, se
     return fitted["place"].to_numpy(np.int64), fitted["weight"].to_numpy(np.float64)
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], features: Features, settings: Settings) -> DataFrame:
-    """(doc_id, held_out, score) for each row of docs (doc_id, text): the sparse dot product through the logistic function.
+def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], features: Features, settings: Settings) -> DataFrame:
+    """(own, score): each row of docs as a struct, and its score: the sparse dot product through the logistic function.
 
-    Null and empty texts have no features and score by the bias. Rows that repeat stay rows; a null doc_id counts as held
-    out; other columns are ignored.
+    Null and empty texts have no features and score by the bias. Rows that repeat stay rows. All columns are carried
+    along in own, whatever their names; select fewer to carry less.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = docs.select("doc_id").schema[0].dataType.simpleString()
     bits = settings.bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +120,13 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], features: Featu
                 pairs = np.unique((row[hit] << bits) | at[hit])
                 dot = np.bincount(pairs >> bits, weights=dense[pairs & ((1 << bits) - 1)], minlength=found.rows)
                 parts.append(1 / (1 + np.exp(-np.clip(dot + dense[1 << bits], -35, 35))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(parts))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(parts))], ["own", "score"])
+
+    rows = docs.select(F.struct("*").alias("own"), "text")
+    return rows.mapInArrow(run, T.StructType([rows.schema["own"], T.StructField("score", T.DoubleType())]))
 
-    scored = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
-    return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(True)).alias("held_out"), "score")
+
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], features: Features, settings: Settings) -> DataFrame:
+    """(doc_id, held_out, score) for each row of docs (doc_id, text); a null doc_id counts as held out."""
+    out = scored(docs.select("doc_id", "text"), model, features, settings)
+    return out.select("own.doc_id", F.coalesce(held_out(F.col("own.doc_id")), F.lit(True)).alias("held_out"), "score")

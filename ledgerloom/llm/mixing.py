@@ -78,3 +78,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3,
     rest = F.col("target") - epochs * F.col("source_size")
     once = F.when(F.lit(2.0) * (rest - F.col("before")) >= F.col("size"), F.col("size")).otherwise(F.lit(0))
     return run.select("doc_id", "size", "source_size", "target", (epochs * F.col("size") + once).cast("long").alias("taken"), "row")
+
+
+def mixed(docs: DataFrame, **settings) -> DataFrame:
+    """The rows of docs (files read by Spark), with all their columns, each as often as the mix takes it whole."""
+    times = mix(docs, **settings).where("taken > 0").select(F.col("row").alias("_row"), (F.col("taken") / F.col("size")).cast("int").alias("_times"))
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id()).join(times, "_row")
+    return numbered.withColumn("_times", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_row", "_times")

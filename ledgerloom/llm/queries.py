@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, near_dedup, quality, token_counts, toxicity
+from . import bpe, chat, exact_dedup, mixing, near_dedup, quality, quality_rules, secrets, token_counts, toxicity
 from .common import documents
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -23,10 +23,36 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.collapse(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+OP4_SQL = """
+WITH turns AS (
+  SELECT DISTINCT conv_id, turn, role, text,
+    CASE WHEN role IS NULL THEN 'null:' ELSE length(role) || ':' || role END
+      || CASE WHEN text IS NULL THEN 'null:' ELSE length(text) || ':' || text END AS written,
+    '<|im_start|>' || replace(replace(coalesce(role, 'unknown'), '<|im_start|>', '<| im_start|>'), '<|im_end|>', '<| im_end|>') || chr(10)
+      || replace(replace(coalesce(text, ''), '<|im_start|>', '<| im_start|>'), '<|im_end|>', '<| im_end|>') || '<|im_end|>' || chr(10) AS block
+  FROM conversations),
+prefixes AS (
+  SELECT conv_id, string_agg(written, '') OVER w AS prefix, row_number() OVER w AS k, count(*) OVER (PARTITION BY conv_id) AS n
+  FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST ROWS UNBOUNDED PRECEDING)),
+whole AS (SELECT min(conv_id) AS conv_id, any_value(n) AS n_turns, count(*) AS n_same, prefix FROM prefixes WHERE k = n GROUP BY prefix),
+maximal AS (SELECT * FROM whole WHERE prefix NOT IN (SELECT prefix FROM prefixes WHERE k < n))
+SELECT m.conv_id, n_turns, n_same, string_agg(block, '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS rendered
+FROM maximal m JOIN turns t ON m.conv_id IS NOT DISTINCT FROM t.conv_id GROUP BY ALL
+"""
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(documents(spark, sf_dir), width=2).drop("row")
 
@@ -68,6 +94,10 @@ FROM runs
 """
 
 
+def op8_secret_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets(documents(spark, sf_dir))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
@@ -85,14 +115,18 @@ FROM docs WINDOW w AS (PARTITION BY t)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_quality_rules": op2_quality_rules,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_chat_collapse": op4_chat_collapse,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_mix_sources": op7_mix_sources,
+    "op8_secret_owners": op8_secret_owners,
     "op9_token_counts": op9_token_counts,
     "op10_exact_dedup": op10_exact_dedup,
 }
 SQL: dict[str, str] = {
+    "op4_chat_collapse": OP4_SQL,
     "op7_mix_sources": OP7_SQL,
     "op10_exact_dedup": OP10_SQL,
 }

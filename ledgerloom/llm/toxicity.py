@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, chain, hash_strings
-from .ftrl import Settings, score, train
+from .ftrl import Settings, score, scored, train
 
 #: Punctuation that may surround a word.
 MARKS = ".,;:!?\"'()[]{}<>#*$%&|_-"
@@ -44,3 +44,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = SETTINGS,
     """
     model = train(docs, labels, "toxic", features, settings)
     return score(docs, model, features, settings).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, settings: Settings = SETTINGS, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all their columns, that score below the threshold; no row is moved for it."""
+    model = train(docs, labels, "toxic", features, settings)
+    return scored(docs, model, features, settings).where(F.col("score") < threshold).select("own.*")
