@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .common import Words, chain, hash_strings
 from .ftrl import Settings, score, train
 
-SETTINGS = Settings(l1=3.0)
+SETTINGS = Settings(l1=2.0, alpha=1.0, epochs=4)
 THRESHOLD = 0.3
 
 

@@ -14,7 +14,7 @@ from .ftrl import Settings, score, scored, train
 MARKS = ".,;:!?\"'()[]{}<>#*$%&|_-"
 #: Code points of the stems that stand for the inflected forms of a word.
 STEMS = (4, 5)
-SETTINGS = Settings(l1=1.0, alpha=0.3)
+SETTINGS = Settings(l1=2.0, alpha=1.0, epochs=4)
 THRESHOLD = 0.5
 
 
