@@ -3,12 +3,13 @@
 Two small collections of minhash bands are computed for a document; its table keys are all pairs of a band of the one
 and a band of the other. SIDE bands each of HALF minhashes give SIDE**2 tables of 2 * HALF minhashes from only
 2 * SIDE * HALF hash functions. Two sets of similarity 0.8 miss each other with a chance of 2 * (1 - 0.8**HALF)**SIDE,
-0.00001 here, and closer ones less.
+0.00007 here, and closer ones less.
 
 Equal sets are collapsed first. What is wanted are the connected components, so a pair need not be verified once its
 ends are connected: in a few rounds every document is compared with a member of its buckets that shares most of them.
-The documents of the buckets that then still hold several components are joined exactly, by the rarest fifth of their
-shingles, of which two similar sets always share one. No bucket is expanded into its pairs, and none is cut.
+The documents of the buckets that then still hold several components are joined exactly: each is reduced to what sets it
+apart from the majority of its cluster, similar ones share a rare element of that or are both close to the majority, and
+a bound on what two can share leaves few pairs to verify. No bucket is expanded into its pairs, and none is cut.
 """
 
 from __future__ import annotations
@@ -25,9 +26,9 @@ from pyspark.sql import functions as F
 from .common import Words, bites, chain, settle, spread_join, texts_of
 
 #: Bands in each of the two collections, and minhashes in a band.
-SIDE, HALF = 12, 2
+SIDE, HALF = 10, 2
 #: Rounds of comparing with one member of a bucket before the exact join takes the rest.
-ROUNDS = 4
+ROUNDS = 3
 
 
 def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
@@ -145,20 +146,44 @@ def _round_pairs(rows: DataFrame, seed: int, percent: int) -> DataFrame:
     return near.groupBy(F.col("row").alias("y"), "x").count().groupBy("y").agg(F.max_by("x", F.struct("count", "x")).alias("x"))
 
 
-def _prefix_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(x, y): all pairs of rows (row, n_shingles, comp) of different components that can have the similarity.
+def _majority(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """(row, cluster, comp, n_shingles, delta): delta is what sets a row apart from the shingles that most rows of its
+    cluster have, those it has besides and those it lacks. |x| + |y| - 2|x & y| is the same for deltas as for sets."""
+    grams = rows.join(sets, "row").select("cluster", F.explode("shingles").alias("gram")).groupBy("cluster", "gram").count()
+    sizes = rows.groupBy("cluster").agg(F.count("*").alias("size"))
+    usual = grams.join(sizes, "cluster").where("2 * count > size").groupBy("cluster").agg(F.collect_list("gram").alias("usual"))
+    usual = sizes.select("cluster").join(usual, "cluster", "left").withColumn("usual", F.coalesce("usual", F.array().cast("array<long>")))
+    own = rows.join(sets, "row")
+    delta = F.concat(F.array_except("shingles", "usual"), F.array_except("usual", "shingles"))
+    return spread_join(own, usual, ["cluster"]).select("row", "cluster", "comp", "n_shingles", delta.alias("delta"))
 
-    In any fixed order of shingles two similar sets share one among their first n - ceil(percent * n) + 1; rare ones come
-    first here. A list of rows that one component fills is not paired within it.
+
+def _star_pairs(deltas: DataFrame, percent: int) -> DataFrame:
+    """(x, y): each row y with the row x of its cluster whose size allows most for its delta. Two similar rows whose deltas
+    share nothing are both similar to x, so these pairs connect all such rows."""
+    room = (F.size("delta") * (100 + percent) - F.col("n_shingles") * (100 - percent)).alias("need")
+    rows = deltas.select("row", "cluster", "comp", room)
+    best = rows.groupBy("cluster").agg(F.min(F.struct("need", "row", "comp")).alias("b")).select("cluster", F.col("b.row").alias("x"), F.col("b.need").alias("least"), F.col("b.comp").alias("other"))
+    return spread_join(rows, best, ["cluster"]).where((F.col("comp") != F.col("other")) & (F.col("need") + F.col("least") <= 0)).select("x", F.col("row").alias("y"))
+
+
+def _delta_pairs(deltas: DataFrame, percent: int) -> DataFrame:
+    """(x, y): the pairs of different components whose deltas share something and that can have the similarity.
+
+    Of two sets with p and q elements before the first that they share, in any fixed order, at most min(|d| - p, |e| - q)
+    are shared. Rare elements come first, so that bound leaves few pairs. A list that one component fills is not paired
+    within it.
     """
-    grams = settle(rows.join(sets, "row").select("row", "comp", "n_shingles", F.explode("shingles").alias("gram")))
-    ranked = spread_join(grams, grams.groupBy("gram").count(), ["gram"])
-    place = F.row_number().over(Window.partitionBy("row").orderBy("count", "gram"))
-    prefix = settle(ranked.withColumn("place", place).where(f"count > 1 and place <= n_shingles - ceil(n_shingles * {percent} / 100) + 1").drop("count", "place"))
-    main = prefix.groupBy("gram", "comp").count().groupBy("gram").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count("*").alias("n")).where("n > 1").drop("n")
-    several = settle(spread_join(prefix, main, ["gram"]))
-    rest = several.where("comp <> main").select("gram", F.col("row").alias("x"), F.col("comp").alias("other"), F.col("n_shingles").alias("m"))
-    pairs = several.join(rest, "gram").where((F.col("comp") != F.col("other")) & _close(percent))
+    flat = settle(deltas.select("row", "cluster", "comp", "n_shingles", F.size("delta").alias("size"), F.explode("delta").alias("gram")))
+    ranked = spread_join(flat, flat.groupBy("cluster", "gram").count(), ["cluster", "gram"])
+    place = F.row_number().over(Window.partitionBy("row").orderBy("count", "gram")) - 1
+    prefix = settle(ranked.withColumn("place", place).where((F.col("count") > 1) & (F.col("place") * percent <= F.col("n_shingles") * (100 - percent))).drop("count"))
+    main = prefix.groupBy("cluster", "gram", "comp").count().groupBy("cluster", "gram").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count("*").alias("n")).where("n > 1").drop("n")
+    several = settle(spread_join(prefix, main, ["cluster", "gram"]))
+    rest = several.where("comp <> main").select("cluster", "gram", F.col("row").alias("x"), F.col("comp").alias("other"), F.col("n_shingles").alias("m"), (F.col("size") - F.col("place")).alias("left"), F.col("size").alias("d"))
+    apart = F.col("size") + F.col("d") - 2 * F.least(F.col("left"), F.col("size") - F.col("place"))
+    near = apart * (100 + percent) <= (F.col("n_shingles") + F.col("m")) * (100 - percent)
+    pairs = several.join(rest, ["cluster", "gram"]).where((F.col("comp") != F.col("other")) & _close(percent) & near)
     return pairs.select(F.greatest("x", "row").alias("x"), F.least("x", "row").alias("y")).distinct()
 
 
@@ -182,20 +207,24 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, side: int =
     members = settle(keys.join(shared, "key", "left_semi"))
     sets = settle(sets_of(docs, members.select("row").distinct(), width))
 
-    links, comps, left = None, None, None
+    links, comps = None, None
+
+    def add(pairs: DataFrame) -> None:
+        nonlocal links, comps
+        found = settle(verified(settle(pairs), sets, percent))
+        if links is None or not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            comps = components(links)
+
     for k in range(rounds):
-        opened = settle(_open(members, comps))
-        n = opened.select("row").distinct().count()
-        if not n or left is not None and n > 0.9 * left:
-            break
-        left = n
-        found = settle(verified(settle(_round_pairs(opened, k, percent)), sets, percent))
-        links = found if links is None else links.unionByName(found)
-        comps = components(links)
-    rest = _open(members, comps).select("row", "n_shingles", "comp").distinct()
-    last = settle(verified(settle(_prefix_pairs(settle(rest), sets, percent)), sets, percent))
-    links = last if links is None else links.unionByName(last)
-    comps = components(links) if not last.isEmpty() or comps is None else comps
+        add(_round_pairs(settle(_open(members, comps)), k, percent))
+    rest = settle(_open(members, comps))
+    centre = rest.groupBy("key").agg(F.min("row").alias("y"))
+    clusters = components(spread_join(rest.select("key", F.col("row").alias("x")), centre, ["key"]).select("x", "y"))
+    rows_left = settle(rest.select("row", "n_shingles").distinct().join(clusters.withColumnRenamed("comp", "cluster"), "row"))
+    for pairs in (_star_pairs, _delta_pairs):
+        known = rows_left.join(comps, "row", "left").withColumn("comp", F.coalesce("comp", "row"))
+        add(pairs(settle(_majority(settle(known), sets)), percent))
 
     grouped = settle(classes.join(comps, "row", "left").withColumn("comp", F.coalesce("comp", "row")))
     firsts = grouped.groupBy("comp").agg(F.min("first").alias("keep"))
