@@ -2,7 +2,7 @@
 
 The tokenizer drops white space and splits at it before merging, so a text has as many tokens as its ASCII-blank
 separated words have together. Each distinct word of the corpus is tokenized once. Words that make up at least one part
-in 2**18 of all occurrences, so 2**18 words at most, are broadcast with their counts and summed inside the scan; the
+in 2**21 of all occurrences, so 2**21 words at most, are broadcast with their counts and summed inside the scan; the
 frequencies of the others are joined with the vocabulary. No ids are kept.
 """
 
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import Words, bites, hash_strings, settle, texts_of
 
 #: A word is frequent if it makes up this share of all words; at most 1 / SHARE words do.
-SHARE = 2.0**-18
+SHARE = 2.0**-21
 
 
 @lru_cache(maxsize=2)
@@ -72,7 +72,7 @@ def token_counts(docs: DataFrame, path: str, share: float = SHARE) -> DataFrame:
         frequent, known_pieces = pa.array(shared.value[0], pa.large_string()), np.append(shared.value[1], 0)
         for batch in batches:
             texts = texts_of(batch.column(1))
-            digests = hash_strings(texts).view(np.int64)
+            digests = (hash_strings(texts) >> np.uint64(33)).astype(np.int32)  # tells rows of one doc_id apart
             for start, some in bites(texts):
                 found = Words(some)
                 at = pc.fill_null(pc.index_in(found.distinct, value_set=frequent), -1).to_numpy(zero_copy_only=False)
@@ -84,14 +84,14 @@ def token_counts(docs: DataFrame, path: str, share: float = SHARE) -> DataFrame:
                 row = np.concatenate([np.arange(found.rows), pairs // width])
                 ids = batch.column(0).take(pa.array(row + start))
                 # what is summed already goes along under a key that no word can have, different for each text
-                own = pa.array([f" {x}" for x in digests[start : start + found.rows]], pa.string())
+                own = pa.array([f" {k} {x}" for k, x in zip(ids[: found.rows].to_pylist(), digests[start : start + found.rows], strict=True)], pa.string())
                 word = pa.concat_arrays([own, found.distinct.take(pa.array(pairs % width)).cast(pa.string())])
                 n_bytes = np.concatenate([pc.binary_length(some).to_numpy(zero_copy_only=False), np.zeros(len(pairs), np.int64)]).astype(np.int64)
                 base = np.arange(len(row)) < found.rows
                 columns = [ids, digests[start + row], word, np.concatenate([summed, n]), n_bytes, base.astype(np.int64)]
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], ["doc_id", "digest", "word", "times", "n_bytes", "copies"])
 
-    rows = docs.select("doc_id", "text").mapInArrow(frequencies, f"doc_id {kind}, digest long, word string, times long, n_bytes long, copies long")
+    rows = docs.select("doc_id", "text").mapInArrow(frequencies, f"doc_id {kind}, digest int, word string, times long, n_bytes long, copies long")
     counted = rows.join(known.where(F.col("n") < share * total).select("word", "pieces"), "word", "left")
     tokens = F.sum(F.col("times") * F.coalesce("pieces", F.lit(1))).alias("n_tokens")
     out = counted.groupBy("doc_id", "digest").agg(tokens, F.sum("n_bytes").alias("n_bytes"), F.sum("copies").alias("copies"))
