@@ -31,14 +31,14 @@ def collapse(x: Column) -> Column:
     return trim(F.regexp_replace(x, f"{WS}+", " "))
 
 
-def group(x: Column, pattern: str, k: int = 1) -> Column:
-    """Group k of the first match; null where nothing matches or the group took no part or is empty."""
-    return F.nullif(F.regexp_extract(x, pattern, k), F.lit(""))
-
-
 def present(x: Column) -> Column:
     """Null instead of the empty string."""
-    return F.nullif(x, F.lit(""))
+    return let(x, lambda v: F.when(v != "", v))
+
+
+def group(x: Column, pattern: str, k: int = 1) -> Column:
+    """Group k of the first match; null where nothing matches or the group took no part or is empty."""
+    return present(F.regexp_extract(x, pattern, k))
 
 
 def round_money(x: Column) -> Column:

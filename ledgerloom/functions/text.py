@@ -4,14 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from .scalars import trim
 
-#: Lines of a document in order, and so far.
-BY_LINE = Window.partitionBy("doc_id").orderBy("line_no")
-SO_FAR = BY_LINE.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-BEFORE = BY_LINE.rowsBetween(Window.unboundedPreceding, -1)
-WHOLE = Window.partitionBy("doc_id")
+def by_line() -> WindowSpec:
+    """The lines of a document in order."""
+    return Window.partitionBy("doc_id").orderBy("line_no")
+
+
+def so_far() -> WindowSpec:
+    return by_line().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def before() -> WindowSpec:
+    return by_line().rowsBetween(Window.unboundedPreceding, -1)
 
 
 def line_array(text: Column, ends: str = "\n") -> Column:
@@ -53,4 +60,4 @@ def explode_lines(docs: DataFrame, lines: Column | None = None) -> DataFrame:
 
 def first_of(value: Column) -> Column:
     """The value of the document's first line that has one."""
-    return F.min(F.when(value.isNotNull(), F.struct("line_no", value.alias("v")))).over(WHOLE)["v"]
+    return F.min(F.when(value.isNotNull(), F.struct("line_no", value.alias("v")))).over(Window.partitionBy("doc_id"))["v"]

@@ -1,0 +1,187 @@
+"""Municipal statements: sections, invoices, forms, positioned items and their consolidation."""
+
+import zlib
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import functions as F
+
+from ledgerloom.operators import consolidate, municipal, xfa
+from ledgerloom.operators.layout import layout_documents
+from ledgerloom.plans.jobs import envelope, municipal_job
+from ledgerloom.sources.readers import dataset_of, xfa_datasets
+from ledgerloom.sources.writers import csv_line, municipal_csv_rows
+
+SECTIONS = "Account Number: 12\nBilling Period: 2026-01-01 to 2026-01-31\nOpening Balance: R500.00\nClosing Balance: R750.00\nCharges\nDate Description Amount Reference\n2026-01-03 | Electricity, day | 300.00 | E\n04/01/2026 Water 100.00 W1\nPayments\n2026-01-20 | Paid | -150.00\n"
+HEAD = "TAX INVOICE\nStatement forMay 2026\nAccount Number:558\n"
+INLINE = HEAD + "Previous Account Balance 1,000.00\nCurrent Charges (Excl. VAT) 100.00\nVAT @ 15% 10.00\nLess: Incoming Payment Last Payment Made 2026/05/02 1,000.00\nInterest on Arrears 15.00\nTotal Due 125.00\nElectricityVAT 4760117194Sub - TotalTotal\nAmount\nUsage ( Billing Period 2026/05 )100.00\nVAT: 10.00%10.00110.00\nCould not read 1 2.00 R5\n"
+BLOCK = HEAD + "Previous Account Balance\nSub Total\nCurrent Charges (Excl. VAT)\nVAT @ 15%\n- 50.00\n- 50.00\n100.00\n0.00\nTOTAL AMOUNT OUTSTANDING\n50.00\nVAT 4760117194Sub - TotalTotal\nLevy100.00\nSub - Total100.00\n"
+TEXTS = {
+    "sections": SECTIONS,
+    "inline": INLINE,
+    "block": BLOCK,
+    "mismatch": INLINE.replace("VAT @ 15% 10.00", "VAT @ 15% 11.00"),
+    "unbalanced": INLINE.replace("Total Due 125.00", "Total Due 126.00"),
+    "no total": BLOCK.replace("TOTAL AMOUNT OUTSTANDING\n50.00\n", ""),
+    "adobe": "requires Adobe Reader 8 or higher\nhttp://x/go/pdf_forms_configure.",
+    "bad money": SECTIONS.replace("300.00", "lots"),
+    "no period": SECTIONS.replace("Billing Period", "Bill"),
+    "empty": "",
+    "null": None,
+}
+
+
+@pytest.fixture(scope="module")
+def standard(spark):
+    docs = spark.createDataFrame(list(TEXTS.items()), "doc_id string, text string")
+    return {r.doc_id: r for r in municipal.standard_text(docs).collect()}
+
+
+def lines(row):
+    return [(x.kind, x.date, x.description, str(x.amount)) for x in row["items"]]
+
+
+def test_sections(standard):
+    row = standard["sections"]
+    assert (row.ok, row.account_number, row.period_from, row.period_to) == (True, "12", "2026-01-01", "2026-01-31")
+    assert lines(row) == [("charge", "2026-01-03", "Electricity, day", "300.00"), ("charge", "2026-01-04", "Water", "100.00"), ("payment", "2026-01-20", "Paid", "-150.00")]
+    assert [w.code for w in row.warnings] == ["EJOBURG_CHARGE_SKIPPED"]
+
+
+def test_invoice_inline(standard):
+    row = standard["inline"]
+    assert (row.ok, row.opening_balance, row.closing_balance) == (True, Decimal("1000.00"), Decimal("125.00"))
+    assert lines(row) == [("charge", "2026-05-01", "Electricity: Usage ( Billing Period 2026/05 )", "100.00"), ("charge", "2026-05-01", "Electricity: VAT 10.00%", "10.00"), ("charge", "2026-05-01", "Interest on Arrears", "15.00"), ("payment", "2026-05-02", "Incoming Payment", "-1000.00")]
+
+
+def test_invoice_block(standard):
+    row = standard["block"]
+    assert (row.ok, row.opening_balance, row.closing_balance) == (True, Decimal("-50.00"), Decimal("50.00"))
+    assert lines(row) == [("charge", "2026-05-01", "COJ Charges: Levy", "100.00")]
+
+
+@pytest.mark.parametrize(
+    ("doc", "code", "message"),
+    [
+        ("mismatch", "EJOBURG_STRATEGY_CHARGE_RECONCILIATION_FAILED", None),
+        ("unbalanced", "EJOBURG_STRATEGY_BALANCE_RECONCILIATION_FAILED", None),
+        ("no total", "EJOBURG_STRATEGY_MISSING_BALANCES", None),
+        ("adobe", "PARSE_FAILED", municipal.ADOBE_FORM),
+        ("bad money", "PARSE_FAILED", "Invalid money amount: lots"),
+        ("no period", "PARSE_FAILED", "Missing eJoburg billing period."),
+        ("empty", "PARSE_FAILED", "No eJoburg charges or payments were parsed."),
+        ("null", "PARSE_FAILED", "No eJoburg charges or payments were parsed."),
+    ],
+)
+def test_failures(standard, doc, code, message):
+    row = standard[doc]
+    assert (row.ok, row.code) == (False, code)
+    assert message is None or row.error == message
+
+
+def bill(due="750.00", previous="500.00", summary="", items=None, period="2026-01"):
+    items = items or "<x:CategoryLineItem><x:ItemDescription>Water use</x:ItemDescription><x:ItemAmount>400.00</x:ItemAmount></x:CategoryLineItem><x:CategoryLineItem><x:ItemDescription>Credit note</x:ItemDescription><x:ItemSubTotal>250.00</x:ItemSubTotal></x:CategoryLineItem>"
+    entry = lambda label, amount: f"<x:SummaryBreakdown><x:Description>{label}</x:Description><x:Amount>{amount}</x:Amount></x:SummaryBreakdown>"
+    return (
+        f"<xfa:datasets><xfa:data><x:Bill> <x:BillHeader><x:PersonalDetails><x:Period>{period}</x:Period></x:PersonalDetails><x:InvoiceDetails><x:AccountNumber>A &amp;amp; B</x:AccountNumber></x:InvoiceDetails></x:BillHeader>"
+        f"<x:Summary><x:BillSummaryDetails><x:TotalDue>{due}</x:TotalDue>{entry('Previous  Account Balance', previous)}{entry('Current Charges (Excl. VAT)', '400.00')}{entry('VAT @ 15%', '60.00')}{summary}</x:BillSummaryDetails></x:Summary>"
+        f"<x:Body><x:CategoryType><x:CategoryName>Water</x:CategoryName>{items}</x:CategoryType></x:Body></x:Bill></xfa:data></xfa:datasets>"
+    )
+
+
+def adjusted(label, amount):
+    return f"<x:SummaryBreakdown><x:Description>{label}</x:Description><x:Amount>{amount}</x:Amount></x:SummaryBreakdown>"
+
+
+FORMS = {
+    "plain": bill(due="710.00"),
+    "adjusted": bill(due="125.00", summary=adjusted("Less: Incoming Payment 2026/01/09", "500.00") + adjusted("Interest on Arrears", "15.00") + adjusted("Credit Balance Transfer", "-50.00") + adjusted("Deposit Released", "50.00")),
+    "twice": bill(due="725.00", summary=adjusted("Interest on Arrears", "15.00") * 2),
+    "off": bill(due="711.00"),
+    "named": bill(due="710.00", period="January 2026"),
+    "no bill": "<datasets/>",
+    "null": None,
+}
+
+
+def test_forms(spark):
+    docs = spark.createDataFrame([(k, v, None, None) for k, v in FORMS.items()], "doc_id string, xml string, error_code string, error_message string")
+    found = {r.doc_id: r for r in xfa.xfa_dataset(docs).collect()}
+    plain = found["plain"]
+    assert (plain.ok, plain.account_number, plain.period_from, plain.opening_balance) == (True, "A &amp; B", "2026-01-01", Decimal("500.00"))
+    assert lines(plain) == [("charge", "2026-01-01", "Water: Water use", "400.00"), ("charge", "2026-01-01", "VAT @ 15%", "60.00"), ("payment", "2026-01-01", "Water: Credit note", "-250.00")]
+    assert lines(found["adjusted"])[2:] == [("charge", "2026-01-01", "Interest on Arrears", "15.00"), ("payment", "2026-01-01", "Water: Credit note", "-250.00"), ("payment", "2026-01-09", "Incoming Payment", "-500.00"), ("payment", "2026-01-01", "Credit Balance Transfer", "-50.00"), ("payment", "2026-01-01", "Deposit Released", "-50.00")]
+    assert found["adjusted"].ok is False or found["adjusted"].closing_balance == Decimal("125.00")
+    assert [x[2] for x in lines(found["twice"])].count("Interest on Arrears") == 1
+    assert (found["off"].ok, found["off"].code) == (False, "EJOBURG_STRATEGY_BALANCE_RECONCILIATION_FAILED")
+    assert found["named"].ok and found["named"].period_to == "2026-01-31"
+    assert found["no bill"].code == found["null"].code == "EJOBURG_XFA_BILL_NOT_FOUND"
+
+
+def test_dataset_of_streams(spark):
+    xml = "<d:datasets><d:data>x</d:data></d:datasets>"
+    wrap = lambda data: b"%PDF-1.4\nstream\n" + data + b"\nendstream\n"
+    raw = zlib.compressobj(wbits=-15)
+    gz = zlib.compressobj(wbits=31)
+    for data in (xml.encode(), zlib.compress(xml.encode()), raw.compress(xml.encode()) + raw.flush(), gz.compress(xml.encode()) + gz.flush(), zlib.compress(xml.encode()) + b"\r"):
+        assert dataset_of(wrap(b"other") + wrap(data)) == xml
+    assert dataset_of(None) is None and dataset_of(wrap(b"none")) is None
+    files = spark.createDataFrame([("a", wrap(xml.encode()), None, None), ("b", None, "INVALID_PDF", "m")], "doc_id string, content binary, error_code string, error_message string")
+    assert sorted((r.doc_id, r.xml, r.error_code) for r in xfa_datasets(files).collect()) == [("a", xml, None), ("b", None, "INVALID_PDF")]
+
+
+def test_layout(spark):
+    parts = [("TAX INVOICE", 10, 800, 60), ("Statement for May 2026", 90, 801, 100), ("Account Number", 10, 780, 70), ("558", 100, 780, 20)]
+    parts += [("Previous Account Balance", 10, 760, 100), ("Current Charges (Excl. VAT)", 120, 760, 100), ("VAT @ 15%", 230, 760, 50), ("Total Due", 290, 760, 50)]
+    parts += [("- 50.00", 10, 740, 40), ("100.00", 120, 740, 40), ("0.00", 230, 740, 40), ("50.00", 290, 740, 40), ("PIKITUP", 10, 720, 40), ("Levy", 10, 700, 20), ("100.00", 120, 700, 40), ("  ", 0, 0, 1)]
+    items = spark.createDataFrame([("d", 1, t, float(x), float(y), float(w), 8.0) for t, x, y, w in reversed(parts)], "doc_id string, page int, text string, x double, y double, width double, height double")
+    docs = layout_documents(items)
+    assert docs.collect()[0].text.split("\n")[:2] == ["TAX INVOICE  Statement for May 2026", "Account Number  558"]
+    row = municipal.layout_text(docs).collect()[0]
+    assert (row.ok, row.account_number, row.opening_balance, lines(row)) == (True, "558", Decimal("-50.00"), [("charge", "2026-05-01", "PIKITUP: Levy", "100.00")])
+
+
+ITEMS = [("charge", "2026-01-03", "Electricity", Decimal(300), None, "a"), ("payment", "2026-01-09", "Paid", Decimal(-50), None, None)]
+
+
+def result(spark, rows):
+    schema = f"doc_id string, ok boolean, account_number string, period_from string, period_to string, opening_balance decimal(18,2), closing_balance decimal(18,2), items array<{municipal.ITEM}>, warnings array<{municipal.NOTE}>, code string, error string, strategy string, extraction string"
+    return spark.createDataFrame(rows, schema)
+
+
+def ok(doc, strategy, account="1", closing=750, items=ITEMS, warnings=()):
+    return (doc, True, account, "2026-01-01", "2026-01-31", Decimal(500), Decimal(closing), items, list(warnings), None, None, strategy, "x")
+
+
+def failed(doc, strategy):
+    return (doc, False, None, None, None, None, None, None, [("IGNORED", "m")], "PARSE_FAILED", "m", strategy, "x")
+
+
+def test_consolidation(spark):
+    text, form, layout = consolidate.STRATEGIES
+    other = [("payment", "2026-01-09", "paid ", Decimal(-50), None, None), ("charge", "2026-01-03", "ELECTRICITY", Decimal(300), None, None)]
+    rows = [ok("agreed", text), failed("agreed", form), ok("agreed", layout, items=other), failed("one", text), ok("one", form), failed("one", layout)]
+    rows += [failed("warned", text), ok("warned", form, warnings=[("W", "m")]), ok("differ", text), ok("differ", layout, closing=999), ok("loose", text, account=None), ok("loose", form, account="7"), failed("none", text), failed("none", form), failed("none", layout)]
+    done = consolidate.consolidate(consolidate.strategy_results(result(spark, rows)))
+    found = {r.doc_id: r for r in done.collect()}
+    assert {k: (r.status, r.ok, r.selected_strategy, r.review_required) for k, r in found.items()} == {
+        "agreed": ("agreed", True, text, False),
+        "one": ("single-success", True, form, False),
+        "warned": ("single-success", True, form, True),
+        "differ": ("review-required", False, None, True),
+        "loose": ("agreed", True, text, False),
+        "none": ("all-failed", False, None, True),
+    }
+    assert found["differ"].code == "EJOBURG_STRATEGY_DISAGREEMENT" and found["differ"]["items"] is None
+    assert found["none"].code == "EJOBURG_ALL_STRATEGIES_FAILED" and found["none"].confidence == "low"
+    assert [d.ok for d in found["one"].diagnostics] == [False, True, False]
+    nested = {r.doc_id: r for r in envelope(done, "p").collect()}
+    assert nested["none"].data is None and len(nested["agreed"].data.charges) == 1
+
+
+def test_job_and_csv(spark):
+    out = municipal_job(text=spark.createDataFrame([("a", SECTIONS)], "doc_id string, text string"))
+    rows = municipal_csv_rows(out["lines"]).orderBy("seq").select(csv_line("type", "date", "description", "amount", "currency", "reference").alias("csv"))
+    assert [r.csv for r in rows.collect()] == ['charge,2026-01-03,"Electricity, day",300,ZAR,E', "charge,2026-01-04,Water,100,ZAR,W1", "payment,2026-01-20,Paid,-150,ZAR,"]
+    assert out["statements"].select("ok", "status", "selected_strategy").collect()[0] == (True, "single-success", "standard-text")
+    assert out["checks"].select(F.col("status")).collect()[0][0] == "passed"
