@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: White space of statement text, wider than \s of Java: no-break and typographic blanks and the byte order mark too.
 WS = r"[\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+#: A sign of a number with blanks inside.
+DIGIT = rf"[\d,{WS[1:]}"
 MONEY = "decimal(18,2)"
 CURRENCY = "ZAR"
 
@@ -169,7 +171,7 @@ def inline_date(x: Column) -> Column:
     return parse_date(let(x, lambda v: F.when(v.rlike(r"^\d{4}/"), F.replace(v, F.lit("/"), F.lit("-"))).otherwise(v)))
 
 
-_MONEY_IN = rf"(?i)((?:R|ZAR)?{WS}*(?:\({WS}*(?:[\d,]|{WS})+\.\d{{2}}{WS}*\)|-{WS}*(?:[\d,]|{WS})+\.\d{{2}}|(?:[\d,]|{WS})+\.\d{{2}}))"
+_MONEY_IN = rf"(?i)((?:R|ZAR)?{WS}*(?:\({WS}*{DIGIT}+\.\d{{2}}{WS}*\)|-{WS}*{DIGIT}+\.\d{{2}}|{DIGIT}+\.\d{{2}}))"
 _MONEY_END = rf"(?i)((?:R|ZAR)?{WS}*(?:\({WS}*[\d,]+\.\d{{2}}{WS}*\)|-{WS}*[\d,]+\.\d{{2}}|[\d,]+\.\d{{2}}){WS}*)$"
 
 
