@@ -111,7 +111,7 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame
     return salted.join(reached, [*keys, "_salt"]).drop("_salt")
 
 
-def bites(texts: pa.Array, most: int = 6_000_000) -> Iterator[tuple[int, pa.Array]]:
+def bites(texts: pa.Array, most: int = 3_000_000) -> Iterator[tuple[int, pa.Array]]:
     """Slices of texts of about `most` bytes, whole texts each, with the row where they start."""
     ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
     start = 0

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,14 +76,17 @@ def train(docs: DataFrame, labels: DataFrame, label: str, features: Features, se
             for start, texts in bites(texts_of(batch.column(1))):
                 found = Words(texts)
                 row, at = _places(found, features, bits)
-                pairs = np.unique((row << bits) | at)
-                ends = np.searchsorted(pairs, np.arange(found.rows + 1) << bits)
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array((pairs & ((1 << bits) - 1)).astype(np.int32)))
+                own = np.arange(found.rows + 1) << (bits + 1)
+                pairs = np.unique(np.concatenate([(row << (bits + 1)) | at, own[:-1] | (1 << bits)]))
+                ends = np.searchsorted(pairs, own)
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array((pairs & ((2 << bits) - 1)).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, found.rows), batch.column(2).slice(start, found.rows), lists], ["doc_id", "y", "at"])
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        examples = [(at.astype(np.int64), y) for b in batches for at, y in zip(b.column(1).to_numpy(zero_copy_only=False), b.column(0).to_pylist(), strict=True)]
-        examples = [(np.append(at, 1 << bits), y) for at, y in examples]
+        examples = []  # views of the batches: four bytes a feature
+        for b in batches:
+            flat, ends = b.column(1).flatten().to_numpy(), np.concatenate([[0], np.cumsum(pc.list_value_length(b.column(1)).to_numpy())])
+            examples += [(flat[ends[k] : ends[k + 1]], y) for k, y in enumerate(b.column(0).to_pylist())]
         z, n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
         order = np.random.default_rng(settings.seed)
         for _ in range(settings.epochs):
