@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import WORD, settle, spread_join
 
 #: Rows that one task sorts, about; a source of any size is cut into key ranges of so many rows.
-RANGE_ROWS = 50_000
+RANGE_ROWS = 5_000
 
 
 def word_count(text: Column) -> Column:
