@@ -38,6 +38,33 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def _plain_parquet(docs: DataFrame) -> bool:
+    """Whether docs are rows of Parquet files, each once at most, by columns and filters that always give the same."""
+    plan = docs._jdf.queryExecution().analyzed()
+    if "_metadata" in docs.columns or not plan.deterministic():
+        return False
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    files = plan.nodeName() == "LogicalRelation" and plan.relation().getClass().getSimpleName() == "HadoopFsRelation"
+    return files and plan.relation().fileFormat().toString() == "Parquet"
+
+
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs with an integer column, different for each row, that every scan of the result gives to the same row again,
+    however the files are split by then.
+
+    It is the number of the file among the sorted paths, and the place in the file, which the reader knows. Rows that
+    don't come straight from Parquet files are settled with their numbers instead.
+    """
+    if not _plain_parquet(docs):
+        return settle(docs.withColumn(name, F.monotonically_increasing_id()))
+    paths = sorted(r[0] for r in docs.select("_metadata.file_path").distinct().collect())
+    files = docs.sparkSession.createDataFrame([(p, k << 36) for k, p in enumerate(paths)], "_path string, _first long")
+    placed = docs.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_place"))
+    found = placed.join(F.broadcast(files), "_path")
+    return found.select(*[F.col(f"`{c}`") for c in docs.columns], (F.col("_first") + F.col("_place")).alias(name))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

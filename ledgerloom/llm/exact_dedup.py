@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, spread_join
+from .common import numbered, settle, spread_join
 
 #: Code points in a block, and in the longer pieces from which blocks are cut (a long text isn't scanned for each block).
 BLOCK, PIECE = 4096, 65536
@@ -53,9 +53,14 @@ def exact_groups(docs: DataFrame, block: int = BLOCK, hash_of: Callable[[Column]
 
     Null texts count as empty. Of equal texts (A-Z lower-cased) the row with the largest doc_id stays, null being least;
     of rows with the same doc_id and text one stays. Other columns of docs are ignored; an empty docs gives no rows.
-    row is monotonically_increasing_id() over docs, for joining with a re-read of the same files.
+    row tells the rows of this result apart.
     """
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
+    return _groups(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")), block, hash_of)
+
+
+def _groups(docs: DataFrame, block: int = BLOCK, hash_of: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
+    """exact_groups of docs (doc_id, text, row). Rows are read with their text once, so row need not outlast a scan."""
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "row")
     docs = docs.select("doc_id", "row", lower_ascii(F.col("text")).alias("text"))
     pieces = docs.select("doc_id", "row", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), blocks_of(F.col("text"), block).alias("blocks"))
     slim = settle(pieces.withColumn("blocks", F.transform("blocks", lambda b: hash_of(b))))
@@ -92,6 +97,7 @@ def exact_groups(docs: DataFrame, block: int = BLOCK, hash_of: Callable[[Column]
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs (files read by Spark), with all their columns, that exact_groups keeps."""
-    kept = exact_groups(docs).where("kept").select(F.col("row").alias("_row"))
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(kept, "_row", "left_semi").drop("_row")
+    """The rows of docs, with all their columns, that exact_groups keeps."""
+    docs = numbered(docs, "_row")
+    kept = _groups(docs.select("doc_id", "text", F.col("_row").alias("row"))).where("kept").select(F.col("row").alias("_row"))
+    return docs.join(kept, "_row", "left_semi").drop("_row")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, settle, spread_join
+from .common import WORD, numbered, settle, spread_join
 
 #: Rows that one task sorts, about; a source of any size is cut into key ranges of so many rows.
 RANGE_ROWS = 5_000
@@ -59,9 +59,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3,
     once more if the fractional epoch reaches it. A document is reached if at least half of it fits, so a source misses
     its target by half of one document at most. Null and empty texts have size 0 and taken 0; a null source is a source
     of its own, last in order. Rows with the same doc_id draw the same key and are ordered by size. Other columns are
-    ignored; an empty docs gives no rows. row is monotonically_increasing_id() over docs.
+    ignored; an empty docs gives no rows. row tells the rows of this result apart.
     """
-    slim = settle(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), (quality_weight(F.col("text")) if weight is None else weight).alias("weight"), F.monotonically_increasing_id().alias("row")))
+    return _mix(docs.withColumn("_row", F.monotonically_increasing_id()), weights, cap, seed, weight)
+
+
+def _mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3, seed: str = "mix", weight: Column | None = None) -> DataFrame:
+    """mix of docs with their rows' numbers in _row, which become row."""
+    slim = settle(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), (quality_weight(F.col("text")) if weight is None else weight).alias("weight"), F.col("_row").alias("row")))
     sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
     targets = settle(source_targets(sizes.drop("n_rows"), weights, cap).withColumn("source", F.struct("source")).join(sizes.select(F.struct("source").alias("source"), "n_rows"), "source"))
     keyed = slim.withColumn("key", exponential_key(F.col("doc_id"), F.col("weight"), seed)).withColumn("source", F.struct("source"))
@@ -81,7 +86,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3,
 
 
 def mixed(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of docs (files read by Spark), with all their columns, each as often as the mix takes it whole."""
-    times = mix(docs, **settings).where("taken > 0").select(F.col("row").alias("_row"), (F.col("taken") / F.col("size")).cast("int").alias("_times"))
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id()).join(times, "_row")
-    return numbered.withColumn("_times", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_row", "_times")
+    """The rows of docs, with all their columns, each as often as the mix takes it whole."""
+    docs = numbered(docs, "_row")
+    times = _mix(docs, **settings).where("taken > 0").select(F.col("row").alias("_row"), (F.col("taken") / F.col("size")).cast("int").alias("_times"))
+    return docs.join(times, "_row").withColumn("_times", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_row", "_times")

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, bites, chain, settle, spread_join, texts_of
+from .common import Words, bites, chain, numbered, settle, spread_join, texts_of
 
 #: Bands in each of the two collections, and minhashes in a band.
 SIDE, HALF = 10, 2
@@ -62,12 +62,8 @@ def _bands(sets: list[np.ndarray], side: int, half: int) -> np.ndarray:
     return np.stack(out, 1).view(np.int64)
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
-
-
 def signatures(docs: DataFrame, width: int, side: int, half: int) -> DataFrame:
-    """(doc_id, row, n_shingles, digest of the set, bands a, bands b); null bands for empty sets."""
+    """(doc_id, row, n_shingles, digest of the set, bands a, bands b) of docs (doc_id, text, row); null bands for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,11 +79,11 @@ def signatures(docs: DataFrame, width: int, side: int, half: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*own, pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), *halves], ["doc_id", "row", "n_shingles", "digest", "a", "b"])
 
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
-    return _numbered(docs).mapInArrow(run, f"doc_id {kind}, row long, n_shingles long, digest binary, a array<long>, b array<long>")
+    return docs.select("doc_id", "text", "row").mapInArrow(run, f"doc_id {kind}, row long, n_shingles long, digest binary, a array<long>, b array<long>")
 
 
 def sets_of(docs: DataFrame, rows: DataFrame, width: int) -> DataFrame:
-    """(row, shingles) of the given rows of docs."""
+    """(row, shingles) of the given rows of docs (text, row)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,7 +91,7 @@ def sets_of(docs: DataFrame, rows: DataFrame, width: int) -> DataFrame:
                 sets = [s.view(np.int64) for s in shingle_sets(texts, width)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(sets)), pa.array(sets, pa.list_(pa.int64()))], ["row", "shingles"])
 
-    some = _numbered(docs).select("row", "text").join(rows.select("row"), "row", "left_semi")
+    some = docs.select("row", "text").join(rows.select("row"), "row", "left_semi")
     return some.mapInArrow(run, "row long, shingles array<long>")
 
 
@@ -193,9 +189,13 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, side: int =
     Documents are linked if the sets of their width-word shingles (A-Z lower-cased) have a similarity of percent / 100 or
     more. component_id is the smallest doc_id that links reach; kept marks its row, or one of them if rows repeat. Fewer
     words than width are one shingle; null, empty and blank texts have none, and are linked with nothing and kept. A null
-    doc_id comes after all others. Other columns are ignored; an empty docs gives no rows. row is
-    monotonically_increasing_id() over docs, which has to read files.
+    doc_id comes after all others. Other columns are ignored; an empty docs gives no rows. row is the column of numbered().
     """
+    return _groups(numbered(docs.select("doc_id", "text"), "row"), width, percent, side, half, rounds)
+
+
+def _groups(docs: DataFrame, width: int = 5, percent: int = 80, side: int = SIDE, half: int = HALF, rounds: int = ROUNDS) -> DataFrame:
+    """near_groups of docs (doc_id, text, row), whose rows stay the same from scan to scan."""
     rows = settle(signatures(docs, width, side, half))
     full = rows.where("n_shingles > 0")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
@@ -236,6 +236,7 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, side: int =
 
 
 def drop_near_copies(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of docs (files read by Spark), with all their columns, that near_groups keeps."""
-    kept = near_groups(docs, **settings).where("kept").select(F.col("row").alias("_row"))
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(kept, "_row", "left_semi").drop("_row")
+    """The rows of docs, with all their columns, that near_groups keeps."""
+    docs = numbered(docs, "_row")
+    kept = _groups(docs.select("doc_id", "text", F.col("_row").alias("row")), **settings).where("kept").select(F.col("row").alias("_row"))
+    return docs.join(kept, "_row", "left_semi").drop("_row")

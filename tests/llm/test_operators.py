@@ -149,6 +149,31 @@ def test_near_groups_random(spark, tmp_path):
     same([(r.doc_id, r.n_shingles, r.component_id) for r in found.collect()], components(rows, 2))
 
 
+def test_rows_stay_themselves_when_splits_change(spark, tmp_path, monkeypatch):
+    """The files are packed into other partitions at each step, as after executors join or are lost."""
+    draw, turn = np.random.default_rng(4), iter(range(10**6))
+    rows = [(k, " ".join(f"w{x}" for x in draw.integers(0, 5000, 40)), f"s{k % 2}") for k in range(60)]
+    rows += [(k + 60, t + " more", s) for k, t, s in rows[:20]] + [(k + 80, t.upper(), s) for k, t, s in rows[20:40]]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6).write.parquet(str(tmp_path / "d"))
+
+    def settle(df):
+        out = common.settle(df)
+        spark.conf.set("spark.sql.files.minPartitionNum", "1" if next(turn) % 2 else "50")
+        return out
+
+    for module in (exact_dedup, near_dedup, mixing):
+        monkeypatch.setattr(module, "settle", settle)
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    try:
+        same([r.doc_id for r in near_dedup.drop_near_copies(docs).collect()], range(60))
+        for table in (docs, docs.union(docs.where("false"))):
+            same([r.doc_id for r in exact_dedup.drop_copies(table).collect()], [*range(20), *range(40, 80), *range(100, 120)])
+            taken = {r.doc_id: r.taken // r["size"] for r in mixing.mix(table).collect()}
+            assert Counter(r.doc_id for r in mixing.mixed(table).collect()) == Counter({i: n for i, n in taken.items() if n})
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+
+
 def test_quality_rule_counts(odd):
     def counts(t):
         w, seen, dup = WORD.findall(t), set(), 0
