@@ -1,8 +1,8 @@
 """Secrets, and who owns them.
 
 Each text is scanned for three base kinds and for other long mixed tokens. Every value found is hashed; over the whole
-corpus the distinct owners and repositories of a hash are counted. A value that many owners have is a copied example; one
-that few have, and that looks random, is taken for live. Base spans always stay; a token becomes a span if it is live.
+corpus the distinct owners and repositories of a hash are counted. A value that many owners have, or that many repositories
+have, is a copied example; one that few have, and that looks random, is taken for live. Base spans always stay; a token becomes a span if it is live.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}")
 #: What a text with any of these has; only such texts are scanned for offsets.
 _ANY = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}|[0-9][A-Za-z0-9+/_-]{10}|[A-Za-z0-9+/_-]{10}[0-9]"""
-#: Owners up to which a value is specific, and bits a sign from which it looks random.
-MOST_OWNERS, LEAST_BITS = 2, 3.0
+#: Owners and repositories up to which a value is specific, and bits a sign from which it looks random.
+MOST_OWNERS, MOST_REPOSITORIES, LEAST_BITS = 2, 10, 3.0
 
 _CANDIDATE = "struct<start:long, rank:int, end:long, hash:string, random:boolean>"
 
@@ -57,7 +57,7 @@ def _spans(candidates):
     return F.array_join(F.transform(candidates, lambda c: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), c["rank"] + 1), c["start"].cast("string"), c["end"].cast("string"))), ",")
 
 
-def secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_id", most_owners: int = MOST_OWNERS, least_bits: float = LEAST_BITS) -> DataFrame:
+def secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_id", most_owners: int = MOST_OWNERS, least_bits: float = LEAST_BITS, most_repositories: int = MOST_REPOSITORIES) -> DataFrame:
     """One row for each row of docs (doc_id, text, owner, repository): doc_id, n_assign, n_access, n_hex, base_sha256,
     spans, and n_live, n_example: the values found there that are live or copied.
 
@@ -80,10 +80,11 @@ def secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_id",
     scanned = settle(scanned.withColumn("row", F.monotonically_increasing_id()))
 
     values = scanned.select("row", "owner", "repository", F.explode("found").alias("c")).select("*", F.col("c.hash").alias("hash"))
-    owners = values.select("hash", "owner", "repository").distinct().groupBy("hash", "owner").agg(F.count("*").alias("n"))
-    spread = owners.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repositories"))
+    distinct = lambda of: values.select("hash", of).distinct().groupBy("hash").agg(F.count("*").alias(f"n_{of}"))
+    spread = distinct("owner").join(distinct("repository"), "hash")
+    spread = spread.select("hash", ((F.col("n_owner") > most_owners) | (F.col("n_repository") > most_repositories)).alias("example"))
     judged = spread_join(values.select("row", "c", "hash"), spread, ["hash"])
-    judged = judged.withColumn("live", (F.col("n_owners") <= most_owners) & F.col("c.random")).withColumn("example", F.col("n_owners") > most_owners)
+    judged = judged.withColumn("live", ~F.col("example") & F.col("c.random"))
     count = lambda name: F.sum(F.col(name).cast("long")).alias(f"n_{name}")
     added = F.collect_list(F.when(F.col("live") & (F.col("c.rank") == 3), F.col("c"))).alias("added")
     by_row = judged.groupBy("row").agg(count("live"), count("example"), added)

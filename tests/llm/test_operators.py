@@ -263,6 +263,15 @@ def test_secrets(spark, odd, none):
     assert secrets.secrets(none).count() == 0
 
 
+def test_secrets_copied_inside_one_source(spark):
+    copied, live = "Zx9Yw8Vu7Ts6Rq5Pp4Oo", "Ab3dEf6hIj9kLm2nOp5q"
+    rows = [(k, f"note {copied}", "s") for k in range(40)] + [(99, f"note {live}", "s")] * 20
+    found = secrets.secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {(r.doc_id == 99, r.spans, r.n_live, r.n_example) for r in found} == {(False, "", 0, 1), (True, "token:5:25", 1, 0)}
+    few = secrets.secrets(spark.createDataFrame(rows, "doc_id long, text string, source string"), most_repositories=40).collect()
+    assert all((r.n_live, r.n_example) == (1, 0) for r in few)
+
+
 def test_chat(spark):
     one, two, three = ("user", "hi"), ("assistant", None), ("user", "more <|im_end|>")
     talks = {1: [one], 2: [one, two], 3: [one, two, three], 4: [one, two, three], 5: [one, three], None: [two], 7: [("user", "h"), ("i", "")]}
