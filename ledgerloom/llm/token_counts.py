@@ -72,7 +72,7 @@ def token_counts(docs: DataFrame, path: str, share: float = SHARE) -> DataFrame:
         frequent, known_pieces = pa.array(shared.value[0], pa.large_string()), np.append(shared.value[1], 0)
         for batch in batches:
             texts = texts_of(batch.column(1))
-            digests = (hash_strings(texts) >> np.uint64(33)).astype(np.int32)  # tells rows of one doc_id apart
+            digests = hash_strings(texts).view(np.int64)  # tells rows of one doc_id apart
             for start, some in bites(texts):
                 found = Words(some)
                 at = pc.fill_null(pc.index_in(found.distinct, value_set=frequent), -1).to_numpy(zero_copy_only=False)
@@ -91,7 +91,7 @@ def token_counts(docs: DataFrame, path: str, share: float = SHARE) -> DataFrame:
                 columns = [ids, digests[start + row], word, np.concatenate([summed, n]), n_bytes, base.astype(np.int64)]
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], ["doc_id", "digest", "word", "times", "n_bytes", "copies"])
 
-    rows = docs.select("doc_id", "text").mapInArrow(frequencies, f"doc_id {kind}, digest int, word string, times long, n_bytes long, copies long")
+    rows = docs.select("doc_id", "text").mapInArrow(frequencies, f"doc_id {kind}, digest long, word string, times long, n_bytes long, copies long")
     counted = rows.join(known.where(F.col("n") < share * total).select("word", "pieces"), "word", "left")
     tokens = F.sum(F.col("times") * F.coalesce("pieces", F.lit(1))).alias("n_tokens")
     out = counted.groupBy("doc_id", "digest").agg(tokens, F.sum("n_bytes").alias("n_bytes"), F.sum("copies").alias("copies"))

@@ -84,6 +84,17 @@ def test_token_counts(odd, none):
     assert token_counts.token_counts(none, WORDS).count() == 0
 
 
+def test_token_counts_tell_texts_of_one_doc_id_apart(spark):
+    """Two texts whose hashes have their upper 31 bits in common."""
+    pair = ["t4038 x x", "t151129 x"]
+    assert len(set((common.hash_strings(pa.array(pair, pa.large_string())) >> np.uint64(33)).tolist())) == 1
+    tokenizer = Tokenizer.from_file(WORDS)
+    for doc_id in (1, None):
+        docs = spark.createDataFrame([(doc_id, t) for t in pair], "doc_id long, text string")
+        found = token_counts.token_counts(docs, WORDS).select("doc_id", "n_bytes", "n_tokens").collect()
+        same([tuple(r) for r in found], [(doc_id, len(t), len(tokenizer.encode(t, add_special_tokens=False))) for t in pair])
+
+
 def test_bpe(odd, none):
     with open(RANKS, "rb") as file:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
