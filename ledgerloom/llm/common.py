@@ -29,13 +29,57 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it again: the plan starts anew there and lost executors cost nothing before it."""
+#: Removes the shuffle files of a query as soon as it ends; a settled table is what later plans read instead.
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _settled(df: DataFrame) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    schema, was = df.schema, spark.conf.get(_FREE_SHUFFLES)
+    spark.conf.set(_FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_FREE_SHUFFLES, was)
+    return spark.read.schema(schema).parquet(path), path
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Writes df as Parquet into the shared folder and reads it again: the plan starts anew there and lost executors cost nothing before it."""
+    return _settled(df)[0]
+
+
+#: Bytes of a file of a table whose size is known, about, and the fewest files.
+FILE_BYTES, LEAST_FILES = 32 << 20, 8
+
+
+def plan_bytes(df: DataFrame) -> int:
+    """Spark's estimate of the bytes of df, by which it chooses joins; of a settled table the size of its files."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+class Scratch:
+    """The settled tables of one job, so that those which nothing reads any more can go before the job ends."""
+
+    def __init__(self) -> None:
+        self._tables: list[tuple[DataFrame, str]] = []
+
+    def settle(self, df: DataFrame, *like: DataFrame) -> DataFrame:
+        """df settled. Given the settled tables that it is about as large as, in as many files as their bytes ask for."""
+        if like:
+            df = df.coalesce(max(LEAST_FILES, sum(map(plan_bytes, like)) // FILE_BYTES))
+        self._tables.append(_settled(df))
+        return self._tables[-1][0]
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Deletes all settled tables but these; no plan may read the others from now on."""
+        kept = [(t, path) for t, path in self._tables if any(t is x for x in tables)]
+        for table, path in self._tables:
+            if not any(path == p for _, p in kept):
+                where = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+        self._tables = kept
 
 
 def _plain_parquet(docs: DataFrame) -> bool:
@@ -126,16 +170,20 @@ def chain(left: np.ndarray, right: np.ndarray) -> np.ndarray:
         return mix(mix(left + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(3) + right)
 
 
-def spread_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join with right, whose keys are unique, where one key may hold much of left.
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join (inner or left) with right, whose keys are unique, where one key may hold much of left.
 
     The rows of a key are dealt over as many salts as there are shuffle partitions. right's row is sent once to each
-    (key, salt) that occurs; those are few for a hot key, since they are made distinct before the shuffle.
+    (key, salt) that occurs; those are few for a hot key, since they are made distinct before the shuffle. A right that is
+    within Spark's own bound for broadcasting needs none of that: left stays where it is.
     """
-    n = salts(left.sparkSession)
+    spark = left.sparkSession
+    if plan_bytes(right) <= spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold():
+        return left.join(right, keys, how)
+    n = salts(spark)
     salted = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(n)).cast("int"))
     reached = salted.select(*keys, "_salt").distinct().join(right, keys)
-    return salted.join(reached, [*keys, "_salt"]).drop("_salt")
+    return salted.join(reached, [*keys, "_salt"], how).drop("_salt")
 
 
 def bites(texts: pa.Array, most: int = 3_000_000) -> Iterator[tuple[int, pa.Array]]:
