@@ -32,8 +32,8 @@ def normalize_text(text: Column) -> Column:
 
 
 def literal_strings(content: Column) -> Column:
-    """Text of the uncompressed ( ... ) Tj literals of a file's bytes, one a line."""
-    found = F.regexp_extract_all(F.decode(content, "ISO-8859-1"), F.lit(r"\(((?:\\.|[^\\)])*)\)\s*Tj"), F.lit(1))
+    """Text of the uncompressed ( ... ) Tj literals of a file's bytes, one a line. Possessive, so that a long literal takes no stack."""
+    found = F.regexp_extract_all(F.decode(content, "ISO-8859-1"), F.lit(r"\(([^\\)]*+(?:\\.[^\\)]*+)*+)\)\s*Tj"), F.lit(1))
     plain = F.transform(found, _unescape)
     return F.array_join(F.filter(plain, lambda x: x != ""), "\n")
 

@@ -118,6 +118,17 @@ def test_forms(spark):
     assert found["no bill"].code == found["null"].code == "EJOBURG_XFA_BILL_NOT_FOUND"
 
 
+def test_form_errors(spark):
+    """Arrears count only without a previous balance; a month that is none fails the form, wherever a date is looked at."""
+    arrears = FORMS["plain"].replace("<x:BillSummaryDetails>", "<x:BillSummaryDetails><x:Arrears><x:TotalOutstanding>n/a</x:TotalOutstanding></x:Arrears>")
+    day = bill().replace("<x:PersonalDetails>", "<x:PersonalDetails><x:Date>Foo 2026</x:Date>")
+    item_day = bill().replace("<x:CategoryLineItem>", "<x:CategoryLineItem><x:ItemDate>2026-13</x:ItemDate>", 1)
+    assert arrears != FORMS["plain"] and day != bill() and item_day != bill()
+    docs = spark.createDataFrame([("arrears", arrears, None, None), ("day", day, None, None), ("item", item_day, None, None)], "doc_id string, xml string, error_code string, error_message string")
+    found = {r.doc_id: (r.ok, r.error) for r in xfa.xfa_dataset(docs).collect()}
+    assert found == {"arrears": (True, None), "day": (False, "Invalid month: Foo"), "item": (False, "Invalid statement month: 2026/13")}
+
+
 def test_dataset_of_streams(spark):
     xml = "<d:datasets><d:data>x</d:data></d:datasets>"
     wrap = lambda data: b"%PDF-1.4\nstream\n" + data + b"\nendstream\n"

@@ -42,6 +42,12 @@ def test_text(spark):
     assert [(r.text, r.error_code) for r in text_or_fallback(docs).orderBy("doc_id").collect()] == [("x", None), ("one (1)\ntwo", None), (None, "PDF_TEXT_EXTRACTION_FAILED")]
 
 
+def test_long_literals(spark):
+    long = b"x" * 1_000_000
+    docs = spark.createDataFrame([("a", None, b"(" + long + b") Tj"), ("b", None, b"(" + long), ("c", None, b"(" + b"\\(" * 200_000 + b") Tj")], "doc_id string, text string, content binary")
+    assert [(len(r.text or ""), r.error_code) for r in text_or_fallback(docs).orderBy("doc_id").collect()] == [(1_000_000, None), (0, "PDF_TEXT_EXTRACTION_FAILED"), (200_000, None)]
+
+
 def test_tokens(spark):
     assert values(spark, ["Ref123451,500.003,419.57Cr"], money_tokens) == [["Ref", "123451,500.00\x02", "3,419.57\x02Cr"]]
     one = spark.range(1).select(amount_variants(F.lit(Decimal("1500.00")))).collect()[0][0]
