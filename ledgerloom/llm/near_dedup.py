@@ -33,6 +33,8 @@ from .common import Scratch, Words, bites, chain, numbered, spread_join, texts_o
 SIDE, HALF = 10, 2
 #: Rounds of comparing with one member of a bucket, and of a list of deltas, before the exact join takes the rest.
 ROUNDS = 2
+#: Bits of the map that keeps texts from being moved in vain, at most 2**18 longs; with far more rows than bits it spares nothing.
+FILTER_BITS = 2**24
 #: Longs in the sketch of a delta.
 SKETCH = 8
 
@@ -97,7 +99,12 @@ def sets_of(docs: DataFrame, rows: DataFrame, width: int) -> DataFrame:
                 sets = [s.view(np.int64) for s in shingle_sets(texts, width)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(sets)), pa.array(sets, pa.list_(pa.int64()))], ["row", "shingles"])
 
-    some = docs.select("row", "text").join(rows.select("row"), "row", "left_semi")
+    # texts that no given row needs mostly stay where they are: a bit map of FILTER_BITS, whatever the rows, goes with the scan
+    place = F.xxhash64("row").bitwiseAND(FILTER_BITS - 1)
+    word, bit = F.shiftright(place, 6).alias("word"), place.bitwiseAND(63).cast("int")
+    words = rows.groupBy(word).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
+    likely = docs.select("row", "text", word).join(F.broadcast(words), "word").where(F.bit_get("bits", bit) == 1)
+    some = likely.select("row", "text").join(rows.select("row"), "row", "left_semi")
     return some.mapInArrow(run, "row long, shingles array<long>")
 
 
