@@ -1,6 +1,7 @@
 """A corpus pipeline: toxic documents go, copies and near copies go, sources are mixed, and what is left is encoded.
 
-Each stage reads the Parquet that the one before it wrote.
+Each stage reads the Parquet that the one before it wrote. All stages take documents with further columns, whatever their
+names, and all but the last keep them; an empty table gives an empty one. Null texts are empty texts throughout.
 """
 
 from __future__ import annotations
@@ -13,23 +14,30 @@ from ledgerloom.llm.common import documents, settle
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows that score below one half; texts without words score by the bias alone. Without labelled rows to learn from
+    all rows stay."""
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each text, A-Z lower-cased: that of the largest doc_id, null being least; all empty texts are one."""
     return exact_dedup.drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingles, similarity 0.8 or more."""
+    """One row for each group of similarity 0.8 or more on five-word shingles: that of the smallest doc_id, null being last;
+    texts without words stay."""
     return near_dedup.drop_near_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row as often as the mix takes it, three times at most; texts without words are never taken. A null source is one
+    of its own, and rows of the same doc_id are ordered by size."""
     return mixing.mixed(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and the digests of ids and of the decoded bytes, one row for each row."""
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
