@@ -2,12 +2,13 @@
 
 Logs often hold a conversation once for each turn it grew by. Rolling hashes of a conversation's turns identify every
 prefix of it; a conversation whose own hash is a proper prefix of another's is dropped by an anti-join, equal ones are
-kept once, and what remains is rendered.
+kept once, and what remains is rendered. The hash rolls along a sorted conversation row by row and spills, so that a long
+one is never one value; only those that are rendered are gathered, each into the one text that it becomes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import settle
@@ -15,15 +16,19 @@ from .common import settle
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 
-def _sized(x: Column) -> Column:
-    """The string after its length, so that no two sequences of strings are written alike; null has none."""
-    return F.coalesce(F.concat(F.char_length(x).cast("string"), F.lit(":"), x), F.lit("null:"))
+def _turn_hash(seed: int) -> Column:
+    """A 64-bit hash of a turn at its place; null differs from empty, and role from text."""
+    return F.xxhash64(F.lit(seed), "place", F.col("role").isNull(), "role", F.col("text").isNull(), "text").cast("decimal(20,0)")
 
 
-def prefix_hashes(turns: Column) -> Column:
-    """The hash of the first turn, of the first two, and so on."""
-    step = lambda done, t: F.concat(done, F.array(F.sha2(F.concat(F.element_at(done, -1), _sized(t["role"]), _sized(t["text"])).cast("binary"), 256)))
-    return F.aggregate(turns, F.array(F.lit("")), step, lambda done: F.slice(done, F.lit(2), F.size(done)))
+def prefix_hashes(conversations: DataFrame) -> DataFrame:
+    """(conv_id, place, role, text, last, h0, h1): distinct turns in order, and the hash of all turns up to each: two sums of
+    hashes that depend on the place, 128 bits together."""
+    by, turn = Window.partitionBy("conv_id").orderBy("turn", "role", "text"), F.struct("turn", "role", "text")
+    turns = conversations.select("conv_id", "turn", "role", "text").withColumn("seen", F.lag(turn).over(by).eqNullSafe(turn)).where("NOT seen")
+    placed = turns.withColumns({"place": F.row_number().over(by), "last": F.lead(F.lit(1)).over(by).isNull()})
+    so_far = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return placed.select("conv_id", "place", "role", "text", "last", *[F.sum(_turn_hash(k)).over(so_far).alias(f"h{k}") for k in (0, 1)])
 
 
 def render(turns: Column) -> Column:
@@ -41,12 +46,11 @@ def collapse(conversations: DataFrame) -> DataFrame:
     go by turn, null first; turns of the same number by role and text; rows that repeat count once. Turn numbers place
     turns but need not match between snapshots. Other columns are ignored; an empty table gives no rows.
     """
-    turns = F.array_distinct(F.array_sort(F.collect_list(F.struct("turn", "role", "text")))).alias("turns")
-    whole = settle(conversations.groupBy("conv_id").agg(turns).withColumn("hashes", prefix_hashes(F.col("turns"))))
-    own = whole.select("conv_id", F.element_at("hashes", -1).alias("hash"))
+    whole = settle(prefix_hashes(conversations))
     first = F.min(F.struct(F.col("conv_id").isNull().alias("none"), "conv_id"))
-    distinct = own.groupBy("hash").agg(first.alias("first"), F.count("*").alias("n_same"))
-    prefixes = whole.select(F.explode(F.slice("hashes", F.lit(1), F.size("hashes") - 1)).alias("hash")).distinct()
-    maximal = distinct.join(prefixes, "hash", "left_anti").select(F.col("first.conv_id").alias("first"), "n_same")
-    kept = whole.join(maximal, F.col("conv_id").eqNullSafe(F.col("first")))
-    return kept.select("conv_id", F.size("turns").cast("long").alias("n_turns"), "n_same", render(F.col("turns")).alias("rendered"))
+    distinct = whole.where("last").groupBy("h0", "h1").agg(first.alias("first"), F.count("*").alias("n_same"))
+    prefixes = whole.where("NOT last").select("h0", "h1").distinct()
+    maximal = distinct.join(prefixes, ["h0", "h1"], "left_anti").select(F.struct("first.conv_id").alias("conv"), "n_same")
+    kept = whole.select(F.struct("conv_id").alias("conv"), "place", "role", "text").join(maximal, "conv")
+    done = kept.groupBy("conv", "n_same").agg(F.array_sort(F.collect_list(F.struct("place", "role", "text"))).alias("turns"))
+    return done.select("conv.conv_id", F.size("turns").cast("long").alias("n_turns"), "n_same", render(F.col("turns")).alias("rendered"))
