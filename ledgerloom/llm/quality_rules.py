@@ -1,7 +1,9 @@
 """Quality rules: an isolation forest on rule statistics, its threshold calibrated on labelled rows.
 
-The forest is grown on a bounded sample of documents, each tree on 64 of them (few, so that a common kind of junk does not hide itself), by random splits of random statistics; a
-document that few splits set apart is an anomaly. The trees have a fixed size and go with the scan of the statistics.
+The forest is grown on a bounded sample of documents, each tree on 64 of them (few, so that a common kind of junk does not
+hide itself), by random splits of random statistics; a document that few splits set apart is an anomaly. The trees have a
+fixed size and go with the scan of the statistics. All labelled rows set the threshold, by their counts at each score:
+statistics are steps, so there are at most 6**5 scores however many rows there are.
 """
 
 from __future__ import annotations
@@ -14,10 +16,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, bites, held_out, settle, texts_of
+from .common import Words, bites, held_out, settle, spread_join, texts_of
 
-#: Documents that trees are drawn from, and labelled rows that set the threshold, at most: the first by hash of doc_id.
-SAMPLE_ROWS, LABELLED_ROWS = 8192, 20_000
+#: Documents that trees are drawn from, at most: the first by hash of doc_id.
+SAMPLE_ROWS = 8192
 TREES, TREE_ROWS, SEED = 100, 64, 7
 #: Share of the labelled good rows that the threshold keeps at least.
 KEEP = 0.995
@@ -125,36 +127,35 @@ def anomaly(values: np.ndarray, forest: np.ndarray, rows: int = TREE_ROWS) -> np
             right = values[inner, tree[at, 0].astype(np.int64)] > tree[at, 1]
             node[inner] = 2 * at + 1 + right
         total += tree[node, 2]
-    return 2.0 ** (-total / len(forest) / expected(rows))
+    # rounded, so that rows of the same statistics have the same score wherever they are computed
+    return np.round(2.0 ** (-total / len(forest) / expected(rows)), 9)
 
 
-def threshold_of(scores: np.ndarray, good: np.ndarray, keep: float = KEEP) -> float:
-    """The threshold with the most labelled rows right among those that keep the share of the good ones."""
-    if not good.any():
+def threshold_of(scores: np.ndarray, good: np.ndarray, bad: np.ndarray, keep: float = KEEP) -> float:
+    """The threshold with the most labelled rows right among those that keep the share of the good ones; scores rise, good
+    and bad are the labelled rows at each. Of thresholds that are equally right the least. Without good rows 1, which keeps all."""
+    if not good.sum():
         return 1.0
-    least = np.quantile(scores[good], keep, method="higher")
-    candidates = np.unique(np.append(scores[scores >= least], least))
-    wrong = [(good & (scores > t)).sum() + (~good & (scores <= t)).sum() for t in candidates]
-    return float(candidates[int(np.argmin(wrong))])
+    kept, dropped = np.cumsum(good), np.cumsum(bad)
+    least = int(np.searchsorted(kept, np.ceil(keep * (kept[-1] - 1)), side="right"))
+    wrong = kept[-1] - kept + dropped
+    return float(scores[least + int(np.argmin(wrong[least:]))])
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, keep: float = KEEP, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, kept, anomaly; labels has (doc_id, quality).
 
     base_failed: fewer than 50 words, or more than half of them in repeated windows of three. kept: not base_failed and
-    not more anomalous than the threshold; without labelled good rows no document is. Null texts count as empty; rows
-    that repeat stay rows; other columns are ignored. Held-out rows set no threshold.
+    not more anomalous than the threshold; without labelled good rows base_failed alone decides. Null texts count as empty; rows
+    that repeat stay rows, and each counts for the threshold; a doc_id with several labels is good if one of them is;
+    labels of null doc_ids or other values than 0 and 1 are ignored, and so are other columns. Held-out rows set no
+    threshold. Trees are grown on at most sample_rows documents; all labelled rows set the threshold.
     """
     counts = settle(statistics(docs).withColumn("row", F.monotonically_increasing_id()))
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
-    sample = counts.where(~failed).orderBy(F.xxhash64("doc_id"), "row").limit(SAMPLE_ROWS).select(*_COUNTS).toPandas()
-    forest = grow(rule_values(sample.to_numpy()))
-    marked = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
-    marked = marked.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED_ROWS)
-    seen = counts.where(~failed).join(F.broadcast(marked), "doc_id").select("quality", *_COUNTS).limit(2 * LABELLED_ROWS).toPandas()
-    limit = threshold_of(anomaly(rule_values(seen[_COUNTS].to_numpy()), forest), seen["quality"].to_numpy() == 1, keep)
-    shared = docs.sparkSession.sparkContext.broadcast(forest)
+    sample = counts.where(~failed).orderBy(F.xxhash64("doc_id"), "row").limit(sample_rows).select(*_COUNTS).toPandas()
+    shared = docs.sparkSession.sparkContext.broadcast(grow(rule_values(sample.to_numpy())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,4 +164,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> Dat
 
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
     scored = counts.select("doc_id", *_COUNTS).mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in _COUNTS[:5]) + ", anomaly double")
+    marked = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    seen = spread_join(scored.where(~failed).select("doc_id", "anomaly"), marked, ["doc_id"])
+    at = seen.groupBy("anomaly").agg(F.sum("quality").alias("good"), F.sum(1 - F.col("quality")).alias("bad")).orderBy("anomaly").toPandas()
+    limit = threshold_of(*(at[c].to_numpy() for c in ("anomaly", "good", "bad")), keep)
     return scored.select("doc_id", *_COUNTS[:5], failed.alias("base_failed"), (~failed & (F.col("anomaly") <= limit)).alias("kept"), "anomaly")
