@@ -18,12 +18,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one set here where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one set here where it is unset on one machine (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = found.get() if found.isDefined() else None
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -82,6 +84,14 @@ class Scratch:
         self._tables = kept
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """name, with underscores before it until docs has no such column."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def _plain_parquet(docs: DataFrame) -> bool:
     """Whether docs are rows of Parquet files, each once at most, by columns and filters that always give the same."""
     plan = docs._jdf.queryExecution().analyzed()
@@ -103,10 +113,11 @@ def numbered(docs: DataFrame, name: str) -> DataFrame:
     if not _plain_parquet(docs):
         return settle(docs.withColumn(name, F.monotonically_increasing_id()))
     paths = sorted(r[0] for r in docs.select("_metadata.file_path").distinct().collect())
-    files = docs.sparkSession.createDataFrame([(p, k << 36) for k, p in enumerate(paths)], "_path string, _first long")
-    placed = docs.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_place"))
-    found = placed.join(F.broadcast(files), "_path")
-    return found.select(*[F.col(f"`{c}`") for c in docs.columns], (F.col("_first") + F.col("_place")).alias(name))
+    path, first, place = (free_name(docs, c) for c in ("_path", "_first", "_place"))
+    files = docs.sparkSession.createDataFrame([(p, k << 36) for k, p in enumerate(paths)], f"{path} string, {first} long")
+    placed = docs.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(place))
+    found = placed.join(F.broadcast(files), path)
+    return found.select(*[F.col(f"`{c}`") for c in docs.columns], (F.col(first) + F.col(place)).alias(name))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, settle, spread_join
+from .common import free_name, numbered, settle, spread_join
 
 #: Code points in a block, and in the longer pieces from which blocks are cut (a long text isn't scanned for each block).
 BLOCK, PIECE = 4096, 65536
@@ -98,6 +98,7 @@ def _groups(docs: DataFrame, block: int = BLOCK, hash_of: Callable[[Column], Col
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that exact_groups keeps."""
-    docs = numbered(docs, "_row")
-    kept = _groups(docs.select("doc_id", "text", F.col("_row").alias("row"))).where("kept").select(F.col("row").alias("_row"))
-    return docs.join(kept, "_row", "left_semi").drop("_row")
+    row = free_name(docs, "_row")
+    docs = numbered(docs, row)
+    kept = _groups(docs.select("doc_id", "text", F.col(row).alias("row"))).where("kept").select(F.col("row").alias(row))
+    return docs.join(kept, row, "left_semi").drop(row)

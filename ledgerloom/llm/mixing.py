@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, numbered, settle, spread_join
+from .common import WORD, free_name, numbered, settle, spread_join
 
-#: Rows that one task sorts, about; a source of any size is cut into key ranges of so many rows.
+#: Rows of a key range at most, about; a source of any size is cut into as many ranges as that asks for.
 RANGE_ROWS = 5_000
 
 
@@ -33,6 +33,12 @@ def exponential_key(doc_id: Column, weight: Column, seed: str) -> Column:
     return -F.log(u) / weight
 
 
+def key_range(key: Column, n_rows: Column) -> Column:
+    """The range of a key among n_rows of a source, rising with the key: equal steps of its logarithm. Of exponential keys
+    of whatever rates a step d of the logarithm holds a share of d / e at most, so no mixture of weights makes a large range."""
+    return F.floor(F.log(key) * F.ceil(n_rows / (2.718281828459045 * RANGE_ROWS))).cast("long")
+
+
 def source_targets(sizes: DataFrame, weights: tuple[float, ...], cap: float) -> DataFrame:
     """(source, source_size) with target added: shares of the whole by weight, none above cap times its source's size.
 
@@ -71,9 +77,7 @@ def _mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3
     targets = settle(source_targets(sizes.drop("n_rows"), weights, cap).withColumn("source", F.struct("source")).join(sizes.select(F.struct("source").alias("source"), "n_rows"), "source"))
     keyed = slim.withColumn("key", exponential_key(F.col("doc_id"), F.col("weight"), seed)).withColumn("source", F.struct("source"))
     keyed = settle(spread_join(keyed, targets, ["source"]))
-    # a range is a step of 1 - exp(-key), which rises with the key and is spread over (0, 1)
-    ranges = F.ceil(F.col("n_rows") / RANGE_ROWS)
-    keyed = keyed.withColumn("range", F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * ranges).cast("long"))
+    keyed = keyed.withColumn("range", key_range(F.col("key"), F.col("n_rows")))
     sums = keyed.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("before", F.coalesce(F.sum("range_size").over(before), F.lit(0))).drop("range_size")
@@ -87,6 +91,7 @@ def _mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3
 
 def mixed(docs: DataFrame, **settings) -> DataFrame:
     """The rows of docs, with all their columns, each as often as the mix takes it whole."""
-    docs = numbered(docs, "_row")
-    times = _mix(docs, **settings).where("taken > 0").select(F.col("row").alias("_row"), (F.col("taken") / F.col("size")).cast("int").alias("_times"))
-    return docs.join(times, "_row").withColumn("_times", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_row", "_times")
+    row, times = free_name(docs, "_row"), free_name(docs, "_times")
+    docs = numbered(docs, row)
+    found = _mix(docs.withColumn("_row", F.col(row)), **settings).where("taken > 0").select(F.col("row").alias(row), (F.col("taken") / F.col("size")).cast("int").alias(times))
+    return docs.join(found, row).withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).drop(row, times)

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, Words, bites, chain, numbered, spread_join, texts_of
+from .common import Scratch, Words, bites, chain, free_name, numbered, spread_join, texts_of
 
 #: Bands in each of the two collections, and minhashes in a band.
 SIDE, HALF = 10, 2
@@ -348,6 +348,7 @@ def _groups(docs: DataFrame, width: int = 5, percent: int = 80, side: int = SIDE
 
 def drop_near_copies(docs: DataFrame, **settings) -> DataFrame:
     """The rows of docs, with all their columns, that near_groups keeps."""
-    docs = numbered(docs, "_row")
-    kept = _groups(docs.select("doc_id", "text", F.col("_row").alias("row")), **settings).where("kept").select(F.col("row").alias("_row"))
-    return docs.join(kept, "_row", "left_semi").drop("_row")
+    row = free_name(docs, "_row")
+    docs = numbered(docs, row)
+    kept = _groups(docs.select("doc_id", "text", F.col(row).alias("row")), **settings).where("kept").select(F.col("row").alias(row))
+    return docs.join(kept, row, "left_semi").drop(row)
