@@ -47,6 +47,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = SETTINGS,
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, settings: Settings = SETTINGS, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, with all their columns, that score below the threshold; no row is moved for it."""
+    """The rows of docs, with all their columns, that score below the threshold; no row is moved for it. A model that has
+    learned nothing rejects nothing."""
     model = train(docs, labels, "toxic", features, settings)
+    if not len(model[0]):
+        return docs
     return scored(docs, model, features, settings).where(F.col("score") < threshold).select("own.*")
