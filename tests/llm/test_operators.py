@@ -167,13 +167,14 @@ def test_rows_stay_themselves_when_splits_change(spark, tmp_path, monkeypatch):
     rows += [(k + 60, t + " more", s) for k, t, s in rows[:20]] + [(k + 80, t.upper(), s) for k, t, s in rows[20:40]]
     spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6).write.parquet(str(tmp_path / "d"))
 
-    def settle(df):
-        out = common.settle(df)
+    plain = common._settled
+
+    def settled(df):
+        out = plain(df)
         spark.conf.set("spark.sql.files.minPartitionNum", "1" if next(turn) % 2 else "50")
         return out
 
-    for module in (exact_dedup, near_dedup, mixing):
-        monkeypatch.setattr(module, "settle", settle)
+    monkeypatch.setattr(common, "_settled", settled)
     docs = spark.read.parquet(str(tmp_path / "d"))
     try:
         same([r.doc_id for r in near_dedup.drop_near_copies(docs).collect()], range(60))
@@ -229,6 +230,7 @@ def test_classifiers_held_out(spark, odd, none):
         assert all(0 <= r.score <= 1 for r in rest) and run(none, labels).count() == 0
         assert {r.score for r in run(odd, labels.where("false")).collect()} == {0.5}
     kept = toxicity.drop_toxic(docs.withColumn("score", F.lit("s")), labels)
+    assert toxicity.drop_toxic(docs, labels.where("false")).count() == docs.count()
     assert kept.columns == ["doc_id", "text", "score"] and kept.join(labels.where("toxic = 1"), "doc_id").count() < 10
 
 
@@ -294,6 +296,70 @@ def test_chat(spark):
     assert chat.collapse(table.where("false")).count() == 0
 
 
+def test_chat_of_many_turns(spark):
+    """A conversation of 20,000 turns and its snapshot without the last, each row twice; columns named as those inside."""
+    turns = spark.range(20_000).select(F.explode(F.array(F.lit(1), F.lit(2))).alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.concat(F.lit("t"), "id").alias("text"))
+    turns = turns.where("conv_id = 1 OR turn < 19999").withColumns({c: F.lit(0) for c in ("place", "last", "seen", "h0", "first", "conv")})
+    (found,) = chat.collapse(turns.union(turns)).collect()
+    assert (found.conv_id, found.n_turns, found.n_same) == (1, 20_000, 1)
+    assert found.rendered == "".join(f"<|im_start|>user\nt{k}<|im_end|>\n" for k in range(20_000))
+
+
+def test_key_ranges_stay_small_at_any_weight(spark):
+    rows = spark.range(300_000).select("id", F.pow(F.lit(10.0), -(F.col("id") % 4)).alias("weight"))
+    keys = rows.select(mixing.exponential_key(F.col("id"), F.col("weight"), "s").alias("key"))
+    ranges = keys.groupBy(mixing.key_range(F.col("key"), F.lit(300_000)).alias("range")).agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi")).orderBy("range").collect()
+    assert max(r.n for r in ranges) < 1.1 * mixing.RANGE_ROWS
+    assert all(a.hi < b.lo for a, b in zip(ranges, ranges[1:], strict=False))
+
+
+def test_threshold_against_a_plain_version():
+    draw = np.random.default_rng(6)
+    for n in (1, 3, 40, 900):
+        score, good = draw.integers(0, 12, n) / 12, draw.random(n) < 0.7
+        at = np.unique(score)
+        counts = [np.array([(score[kind] == s).sum() for s in at]) for kind in (good, ~good)]
+        found = quality_rules.threshold_of(at, *counts, 0.9)
+        if not good.any():
+            assert found == 1.0
+            continue
+        able = [s for s in at if (good & (score <= s)).sum() > np.ceil(0.9 * (good.sum() - 1))]
+        wrong = {s: (good & (score > s)).sum() + (~good & (score <= s)).sum() for s in able}
+        assert found == min(able, key=lambda s: (wrong[s], s))
+    assert quality_rules.threshold_of(np.zeros(0), np.zeros(0), np.zeros(0)) == 1.0
+
+
+def test_threshold_takes_all_labelled_rows(spark):
+    """Rows of one doc_id many times over; the verdicts are the same however the rows lie."""
+    docs, labels = sample(spark, 300)
+    docs = docs.union(docs.where("doc_id < 3").withColumn("_", F.explode(F.sequence(F.lit(1), F.lit(500)))).drop("_"))
+    verdicts = [sorted(map(tuple, quality_rules.quality_rules(docs.repartition(n), labels).select("doc_id", "kept").collect())) for n in (2, 5)]
+    assert verdicts[0] == verdicts[1] and len(verdicts[0]) == 1800
+    assert all(r.kept != r.base_failed for r in quality_rules.quality_rules(docs, labels.where("false")).collect())
+
+
+def test_ftrl_against_a_plain_version():
+    """Coordinate by coordinate, by the published rule."""
+    settings, draw = ftrl.Settings(bits=4), np.random.default_rng(2)
+    examples = [(np.unique(draw.integers(0, 17, 5)), float(draw.integers(2))) for _ in range(300)]
+    z, n = np.zeros(17), np.zeros(17)
+    ftrl.updates(iter(examples), z, n, settings)
+    pz, pn = [0.0] * 17, [0.0] * 17
+
+    def weight(i):
+        if abs(pz[i]) <= settings.l1:
+            return 0.0
+        return -(pz[i] - (1 if pz[i] > 0 else -1) * settings.l1) / ((settings.beta + pn[i] ** 0.5) / settings.alpha + settings.l2)
+
+    for at, y in examples:
+        w = {i: weight(i) for i in at}
+        g = 1 / (1 + 2.718281828459045 ** -sum(w.values())) - y
+        for i in at:
+            pz[i] += g - ((pn[i] + g * g) ** 0.5 - pn[i] ** 0.5) / settings.alpha * w[i]
+            pn[i] += g * g
+    assert np.allclose(z, pz) and np.allclose(n, pn) and np.allclose(ftrl.weights(z, n, settings), [weight(i) for i in range(17)])
+
+
 def test_words_split_like_the_pattern():
     for t in ODD:
         found = common.Words(pa.array([t or ""], pa.large_string()))

@@ -57,3 +57,19 @@ def test_against_a_plain_version(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     by_id = {r[0]: r[1] for r in left[3]}
     assert sorted((r.doc_id, r.decoded_sha256) for r in out) == sorted((i, hashlib.sha256(by_id[i].encode()).hexdigest()) for i, n in times.items() for _ in range(n))
+
+
+def test_stages_take_empty_tables_and_any_columns(spark, tmp_path):
+    """Further columns have the names that stages give inside."""
+    more = ["_row", "_times", "_path", "_first", "_place", "row", "own", "score", "kept"]
+    rows = [(k, f"w{k} " * 3 + "a b c", "en", "s", 0, *range(len(more))) for k in range(6)] + [(6, None, None, None, None, *[None] * len(more))]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} long" for c in more)
+    spark.createDataFrame(rows, kinds).write.parquet(str(tmp_path / "docs"))
+    spark.createDataFrame([(k, 1, 0) for k in range(6)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    for name, stage in corpus_pipeline.STAGES:
+        out, none = stage(spark, docs, str(tmp_path)), stage(spark, docs.where("false"), str(tmp_path))
+        assert none.count() == 0 and none.columns == out.columns, name
+        if name != "byte bpe":
+            assert out.columns == docs.columns and {tuple(r) for r in out.collect()} <= set(rows) and out.count() >= 6, name
+    assert out.count() == 7
