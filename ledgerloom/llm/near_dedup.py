@@ -104,7 +104,8 @@ def sets_of(docs: DataFrame, rows: DataFrame, width: int) -> DataFrame:
     word, bit = F.shiftright(place, 6).alias("word"), place.bitwiseAND(63).cast("int")
     words = rows.groupBy(word).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
     likely = docs.select("row", "text", word).join(F.broadcast(words), "word").where(F.bit_get("bits", bit) == 1)
-    some = likely.select("row", "text").join(rows.select("row"), "row", "left_semi")
+    # an inner join, since a semi join would be pushed below the bit map; rows are distinct
+    some = likely.select("row", "text").join(rows.select("row"), "row")
     return some.mapInArrow(run, "row long, shingles array<long>")
 
 
