@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import WORD, free_name, numbered, settle, spread_join
 
 #: Rows of a key range at most, about; a source of any size is cut into as many ranges as that asks for.
-RANGE_ROWS = 5_000
+RANGE_ROWS = 1_000
 
 
 def word_count(text: Column) -> Column:
