@@ -19,7 +19,7 @@ from ..operators.layout import layout_documents
 from ..sources.readers import NO_DATASET, xfa_datasets
 from ..sources.writers import bank_csv_rows, csv_line, municipal_csv_rows
 from . import render
-from .jobs import bank_job, corpus_report, envelope, municipal_job
+from .jobs import bank_envelope, bank_job, corpus_report, envelope, municipal_job
 
 _ADOBE = "This form requires Adobe Reader 8 or higher\nsee go/pdf_forms_configure"
 
@@ -85,6 +85,28 @@ FROM l WHERE NOT bad
 )
 
 
+def bank_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nested results as JSON, and what stands in a few of their places."""
+    nested = bank_envelope(_bank(spark, sf_dir)["results"], "bank")
+    text = F.to_json(F.struct(*[c for c in nested.columns if c != "doc_id"]))
+    at = lambda path: F.get_json_object(text, path)
+    return nested.select("doc_id", at("$.ok").alias("ok"), at("$.data.institution").alias("institution"), at("$.data.accountNumberMasked").alias("account"), at("$.data.period.to").alias("period_to"), at("$.data.transactions[0].date").alias("first_date"), at("$.errors[0].code").alias("code"), at("$.metadata.confidence").alias("confidence"), at("$.metadata.checks[0].status").alias("status"), F.size("data.transactions").cast("long").alias("n_transactions"))
+
+
+BANK_ENVELOPES = (
+    _BANK
+    + """
+SELECT doc_id, CASE WHEN bad THEN 'false' ELSE 'true' END AS ok, CASE WHEN NOT bad THEN 'FNB' END AS institution,
+  CASE WHEN NOT bad THEN lpad(k::VARCHAR, 11, '0') END AS account, CASE WHEN NOT bad THEN y || '-12-31' END AS period_to,
+  CASE WHEN NOT bad THEN (SELECT min(d) FROM l WHERE l.doc_id = s.doc_id)::VARCHAR END AS first_date,
+  CASE WHEN bad THEN 'PARSE_FAILED' END AS code, CASE WHEN bad THEN 'low' WHEN NOT missing AND k % 7 = 0 THEN 'medium' ELSE 'high' END AS confidence,
+  CASE WHEN bad THEN NULL WHEN missing THEN 'skipped' WHEN k % 7 = 0 THEN 'failed' ELSE 'passed' END AS status,
+  CASE WHEN NOT bad THEN n END AS n_transactions
+FROM s
+"""
+)
+
+
 def bank_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bank(spark, sf_dir)["issues"]
 
@@ -369,7 +391,7 @@ SELECT page_id, nullif({_DECODED.format("regexp_replace(" + _STRIPPED.format("t"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (bank_reconciliation, bank_lines, bank_issues, bank_csv, bank_report, municipal_sections, municipal_checks, municipal_csv, municipal_invoices, municipal_layout, municipal_forms, municipal_consolidation, municipal_report, municipal_envelopes, pdf_extraction, document_lines, document_amounts, page_blocks)
+    for f in (bank_reconciliation, bank_lines, bank_issues, bank_csv, bank_report, bank_envelopes, municipal_sections, municipal_checks, municipal_csv, municipal_invoices, municipal_layout, municipal_forms, municipal_consolidation, municipal_report, municipal_envelopes, pdf_extraction, document_lines, document_amounts, page_blocks)
 }
 SQL: dict[str, str] = {
     "bank_reconciliation": BANK_RECONCILIATION,
@@ -377,6 +399,7 @@ SQL: dict[str, str] = {
     "bank_issues": BANK_ISSUES,
     "bank_csv": BANK_CSV,
     "bank_report": BANK_REPORT,
+    "bank_envelopes": BANK_ENVELOPES,
     "municipal_sections": MUNICIPAL_SECTIONS,
     "municipal_checks": MUNICIPAL_CHECKS,
     "municipal_csv": MUNICIPAL_CSV,
