@@ -3,7 +3,7 @@
 Two small collections of minhash bands are computed for a document; its table keys are all pairs of a band of the one
 and a band of the other. SIDE bands each of HALF minhashes give SIDE**2 tables of 2 * HALF minhashes from only
 2 * SIDE * HALF hash functions. Two sets of similarity 0.8 miss each other with a chance of 2 * (1 - 0.8**HALF)**SIDE,
-0.00007 here, and closer ones less.
+0.00001 here, and closer ones less.
 
 Equal sets are collapsed first. What is wanted are the connected components, so a pair need not be verified once its
 ends are connected: in a few rounds every document is compared with a member of its buckets that shares most of them.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, Words, bites, chain, free_name, numbered, spread_join, texts_of
 
 #: Bands in each of the two collections, and minhashes in a band.
-SIDE, HALF = 10, 2
+SIDE, HALF = 12, 2
 #: Rounds of comparing with one member of a bucket, and of a list of deltas, before the exact join takes the rest.
 ROUNDS = 2
 #: Bits of the map that keeps texts from being moved in vain, at most 2**18 longs; with far more rows than bits it spares nothing.
