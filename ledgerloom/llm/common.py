@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words of the contracts: runs of anything but the six ASCII blanks.
@@ -74,6 +74,10 @@ class Scratch:
         self._tables.append(_settled(df))
         return self._tables[-1][0]
 
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes these settled tables; no plan may read them from now on."""
+        self.keep(*[t for t, _ in self._tables if not any(t is x for x in tables)])
+
     def keep(self, *tables: DataFrame) -> None:
         """Deletes all settled tables but these; no plan may read the others from now on."""
         kept = [(t, path) for t, path in self._tables if any(t is x for x in tables)]
@@ -120,6 +124,22 @@ def numbered(docs: DataFrame, name: str) -> DataFrame:
     return found.select(*[F.col(f"`{c}`") for c in docs.columns], (F.col(first) + F.col(place)).alias(name))
 
 
+def placed(rows: DataFrame, group: list[str], order: list[str], place: str, scratch: Scratch) -> DataFrame:
+    """Settled rows with their place (from 0) among those of the same group, by order; equal rows in any order.
+
+    All rows are sorted by ranges of (group, order), so that a large group is dealt over many tasks. What a range adds to
+    the places of a group that began before it is one row a range at most. Rows should be settled: they are read twice.
+    """
+    keys = [*group, *order, "_tie"]
+    ranges = rows.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    in_range = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    written = scratch.settle(ranges.select(F.struct(*group).alias("_group"), *rows.columns, F.spark_partition_id().alias("_range"), in_range.alias("_at")))
+    parts = written.groupBy("_group", "_range").agg(F.min("_at").alias("_first"), F.count("*").alias("_rows"))
+    before = Window.partitionBy("_group").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    parts = scratch.settle(parts.select("_group", "_range", (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")).alias("_shift")))
+    return written.join(parts, ["_group", "_range"]).withColumn(place, F.col("_at") + F.col("_shift")).drop("_group", "_range", "_at", "_shift")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, mixing, near_dedup, quality, quality_rules, secrets, token_counts, toxicity
+from . import bpe, chat, exact_dedup, merkle, mixing, near_dedup, pieces, prefix_trie, quality, quality_rules, secrets, token_counts, toxicity
 from .common import documents
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -113,6 +113,105 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM docs WINDOW w AS (PARTITION BY t)
 """
 
+
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"), prefix_trie.by_fives())
+
+
+def _crc32(number: str) -> str:
+    """Unsigned CRC-32 of a decimal number in SQL, bit by bit."""
+    bits = "lambda x, i: xor(x >> 1, (x & 1) * 3988292384)"
+    digits = f"list_transform(string_split({number}::VARCHAR, ''), lambda d: ascii(d)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {digits}), lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]), {bits})), 4294967295)"
+
+
+OP11_SQL = f"""
+WITH turns AS (
+  SELECT conv_id, strlen(coalesce(text, '')) AS n_bytes, turn,
+    sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS turn_sha
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, turn_sha, n_bytes, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, turn_sha) - 1 AS place FROM turns),
+sizes AS (SELECT conv_id, count(*) AS n, conv_id - conv_id % 5 AS base, {_crc32("conv_id")} % 9 AS head FROM own GROUP BY conv_id),
+convs AS (SELECT s.*, least(s.head, coalesce(b.n, 0)) AS from_base, least(s.head, coalesce(b.n, 0)) + greatest(s.n - s.head, 0) AS length FROM sizes s LEFT JOIN sizes b ON b.conv_id = s.base),
+rebuilt AS (
+  SELECT c.conv_id, o.place, o.turn_sha, o.n_bytes FROM convs c JOIN own o ON o.conv_id = c.base WHERE o.place < c.head
+  UNION ALL SELECT c.conv_id, o.place - c.head + c.from_base, o.turn_sha, o.n_bytes FROM convs c JOIN own o ON o.conv_id = c.conv_id WHERE o.place >= c.head),
+paths AS (
+  SELECT conv_id, place + 1 AS depth, string_agg(turn_sha, ',') OVER (PARTITION BY conv_id ORDER BY place) AS key, n_bytes FROM rebuilt
+  UNION ALL SELECT conv_id, 0, '', 0 FROM convs),
+nodes AS (
+  SELECT depth, key, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(n_bytes) AS own_saved,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE depth = length), '')) AS ends_sha256
+  FROM paths JOIN convs USING (conv_id) GROUP BY depth, key),
+parents AS (
+  SELECT n.depth, n.conv_id, p.conv_id AS parent_conv_id FROM nodes n
+  JOIN paths a ON a.conv_id = n.conv_id AND a.depth = n.depth - 1 JOIN nodes p ON p.depth = a.depth AND p.key = a.key),
+counts AS (SELECT depth - 1 AS depth, parent_conv_id AS conv_id, count(*) AS n_children FROM parents GROUP BY ALL),
+family AS (SELECT n.*, parent_conv_id, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN parents USING (depth, conv_id) LEFT JOIN counts USING (depth, conv_id)),
+sums AS (
+  SELECT a.depth, a.key, sum((n_children = 0)::BIGINT) AS n_leaves, sum(own_saved) AS saved_tokens
+  FROM family f JOIN paths a ON a.conv_id = f.conv_id AND a.depth <= f.depth GROUP BY a.depth, a.key)
+SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, ends_sha256
+FROM family JOIN sums USING (depth, key)
+"""
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lowered = F.translate("text", merkle.UPPER, merkle.LOWER)
+    return merkle.manifest(documents(spark, sf_dir), merkle.lower_third(F.col("doc_id")), lowered)
+
+
+def _leaf(text: str) -> str:
+    written = lambda c: f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
+    return f"sha256({' || '.join(map(written, ['doc_id', 'source', 'lang', 'n_chars', text]))})"
+
+
+def _levels(name: str, leaves: str, group: str) -> str:
+    """A recursive view of all levels of the trees over leaves: (group, level, place, digest, n), n nodes in the level."""
+    return f"""{name} AS (
+  SELECT {group}, 0 AS level, place, digest, n FROM {leaves}
+  UNION ALL
+  SELECT {group}, level + 1, place // 8, sha256(string_agg(digest, '' ORDER BY place)), any_value((n + 7) // 8) FROM {name} WHERE n > 1 GROUP BY {group}, level, place // 8)"""
+
+
+def _steps(name: str, leaves: str, levels: str, group: str, ident: str) -> str:
+    """For each leaf and level the siblings before and after it."""
+    own = "(l.place // (8 ** v.level)::BIGINT)"
+    side = lambda sign: f"coalesce(string_agg(v.digest, '' ORDER BY v.place) FILTER (WHERE v.place {sign} {own}), '')"
+    return f"""{name} AS (
+  SELECT {ident}, v.level, {side("<")} AS b, {side(">")} AS a
+  FROM {leaves} l JOIN {levels} v ON l.{group} IS NOT DISTINCT FROM v.{group} AND v.n > 1 AND v.place // 8 = {own} // 8
+  GROUP BY {ident}, v.level)"""
+
+
+OP12_SQL = f"""
+WITH RECURSIVE hashed AS (
+  SELECT row_number() OVER () AS row, doc_id, lang, {_leaf("text")} AS digest,
+    CASE WHEN {_crc32("doc_id")} % 3 = 0 THEN {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} ELSE {_leaf("text")} END AS forged
+  FROM documents),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, digest) - 1 AS place, count(*) OVER (PARTITION BY lang) AS n FROM hashed),
+{_levels("lower_levels", "leaves", "lang")},
+subroots AS (SELECT 0 AS top, lang, digest, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS place, count(*) OVER () AS n FROM lower_levels WHERE n = 1),
+{_levels("upper_levels", "subroots", "top")},
+{_steps("lower_steps", "leaves", "lower_levels", "lang", "l.row")},
+{_steps("upper_steps", "subroots", "upper_levels", "top", "l.place")},
+lower_paths AS (SELECT row, list({{'b': b, 'a': a}} ORDER BY level) AS steps FROM lower_steps GROUP BY row),
+upper_paths AS (SELECT place, list({{'b': b, 'a': a}} ORDER BY level) AS steps FROM upper_steps GROUP BY place),
+done AS (
+  SELECT doc_id, l.digest AS leaf, forged, s.digest AS subroot, (SELECT digest FROM upper_levels WHERE n = 1) AS root,
+    list_concat(coalesce(p.steps, []), coalesce(u.steps, [])) AS steps
+  FROM leaves l JOIN subroots s ON l.lang IS NOT DISTINCT FROM s.lang LEFT JOIN lower_paths p USING (row) LEFT JOIN upper_paths u ON u.place = s.place),
+folded AS (SELECT *, list_reduce(list_prepend({{'b': forged, 'a': ''}}, steps), lambda h, s: {{'b': sha256(s.b || h.b || s.a), 'a': ''}}).b AS folded_root FROM done)
+SELECT doc_id, leaf, subroot, root, sha256(list_aggregate(list_prepend('', list_transform(steps, lambda s: s.b || s.a)), 'string_agg', '')) AS proof_sha256,
+  folded_root, folded_root = root AS verified
+FROM folded
+"""
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_quality_rules": op2_quality_rules,
@@ -124,9 +223,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_owners": op8_secret_owners,
     "op9_token_counts": op9_token_counts,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_sentencepiece": op13_sentencepiece,
 }
 SQL: dict[str, str] = {
     "op4_chat_collapse": OP4_SQL,
     "op7_mix_sources": OP7_SQL,
     "op10_exact_dedup": OP10_SQL,
+    "op11_prefix_trie": OP11_SQL,
+    "op12_merkle_manifest": OP12_SQL,
 }
