@@ -26,6 +26,11 @@ def line_array(text: Column, ends: str = "\n") -> Column:
     return F.filter(F.transform(F.split(text, ends), lambda x: trim(x)), lambda x: x != "")
 
 
+def file_name(path: Column) -> Column:
+    """The last part of a path."""
+    return F.element_at(F.split(path, "/"), -1)
+
+
 def normalize_text(text: Column) -> Column:
     """Line ends as \\n, lines trimmed, empty ones left out."""
     return F.array_join(line_array(text, r"\r\n|\r|\n"), "\n")

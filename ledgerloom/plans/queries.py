@@ -16,10 +16,12 @@ from ..functions.text import explode_lines, normalize_text, text_or_fallback
 from ..operators import municipal, xfa
 from ..operators.bank import money_tokens
 from ..operators.layout import layout_documents
-from ..sources.readers import NO_DATASET, xfa_datasets
+from ..sources.readers import read_layout_items
+from ..sources.shared import new_table
+from ..sources.streams import NO_DATASET, xfa_datasets
 from ..sources.writers import bank_csv_rows, csv_line, municipal_csv_rows
 from . import render
-from .jobs import bank_envelope, bank_job, corpus_report, envelope, municipal_job
+from .jobs import bank_envelope, bank_job, corpus_report, envelope, municipal_job, stored_bank_job, strategy_report
 
 _ADOBE = "This form requires Adobe Reader 8 or higher\nsee go/pdf_forms_configure"
 
@@ -87,16 +89,18 @@ FROM l WHERE NOT bad
 
 def bank_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nested results as JSON, and what stands in a few of their places."""
-    nested = bank_envelope(_bank(spark, sf_dir)["results"], "bank")
+    docs = render.bank_documents(spark, sf_dir).withColumn("doc_id", F.concat(F.lit("in/bank/"), "doc_id", F.lit(".pdf")))
+    nested = bank_envelope(bank_job(docs)["results"], "bank")
     text = F.to_json(F.struct(*[c for c in nested.columns if c != "doc_id"]))
     at = lambda path: F.get_json_object(text, path)
-    return nested.select("doc_id", at("$.ok").alias("ok"), at("$.data.institution").alias("institution"), at("$.data.accountNumberMasked").alias("account"), at("$.data.period.to").alias("period_to"), at("$.data.transactions[0].date").alias("first_date"), at("$.errors[0].code").alias("code"), at("$.metadata.confidence").alias("confidence"), at("$.metadata.checks[0].status").alias("status"), F.size("data.transactions").cast("long").alias("n_transactions"))
+    return nested.select("doc_id", at("$.metadata.sourceFileName").alias("source_file_name"), at("$.ok").alias("ok"), at("$.data.institution").alias("institution"), at("$.data.accountNumberMasked").alias("account"), at("$.data.period.to").alias("period_to"), at("$.data.transactions[0].date").alias("first_date"), at("$.errors[0].code").alias("code"), at("$.metadata.confidence").alias("confidence"), at("$.metadata.checks[0].status").alias("status"), F.size("data.transactions").cast("long").alias("n_transactions"))
 
 
 BANK_ENVELOPES = (
     _BANK
     + """
-SELECT doc_id, CASE WHEN bad THEN 'false' ELSE 'true' END AS ok, CASE WHEN NOT bad THEN 'FNB' END AS institution,
+SELECT 'in/bank/' || doc_id || '.pdf' AS doc_id, doc_id || '.pdf' AS source_file_name,
+  CASE WHEN bad THEN 'false' ELSE 'true' END AS ok, CASE WHEN NOT bad THEN 'FNB' END AS institution,
   CASE WHEN NOT bad THEN lpad(k::VARCHAR, 11, '0') END AS account, CASE WHEN NOT bad THEN y || '-12-31' END AS period_to,
   CASE WHEN NOT bad THEN (SELECT min(d) FROM l WHERE l.doc_id = s.doc_id)::VARCHAR END AS first_date,
   CASE WHEN bad THEN 'PARSE_FAILED' END AS code, CASE WHEN bad THEN 'low' WHEN NOT missing AND k % 7 = 0 THEN 'medium' ELSE 'high' END AS confidence,
@@ -342,6 +346,145 @@ FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)
 """
 
 
+def bank_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What goes which way when the documents are parsed once and all tables read off the stored results."""
+    done, _ = stored_bank_job(render.bank_documents(spark, sf_dir), new_table(spark, "bank-results"))
+    route = done["statements"].select("doc_id", F.when(F.col("ok"), "ok").otherwise("failed").alias("route"))
+    parts = [done[t].select("doc_id", *[F.lit(int(t == x)).alias(x) for x in _ROUTED]) for t in _ROUTED]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    each = rows.groupBy("doc_id").agg(*[F.sum(x).alias(x) for x in _ROUTED])
+    counted = route.join(each, "doc_id", "left").groupBy("route").agg(F.count("*").alias("documents"), *[F.coalesce(F.sum(x), F.lit(0)).cast("long").alias(x) for x in _ROUTED])
+    return counted.select("route", "documents", *_ROUTED)
+
+
+_ROUTED = ["lines", "checks", "issues"]
+BANK_ROUTES = (
+    _BANK
+    + """
+SELECT CASE WHEN bad THEN 'failed' ELSE 'ok' END AS route, count(*) AS documents, sum(CASE WHEN bad THEN 0 ELSE n END)::BIGINT AS lines,
+  sum(CASE WHEN bad THEN 0 ELSE 2 END)::BIGINT AS checks, sum(CASE WHEN bad THEN 1 ELSE (k % 5 = 0)::INT + (NOT missing AND k % 7 = 0)::INT END)::BIGINT AS issues
+FROM s GROUP BY ALL
+"""
+)
+
+
+def pdf_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form datasets out of raw, compressed and truncated streams, held against what was put in."""
+    xml = render.xfa_documents(render.municipal_base(spark, sf_dir))
+    none = F.lit(None).cast("string")
+    forms = xfa_datasets(render.packed_files(xml).withColumns({"error_code": none, "error_message": none}))
+    found = forms.select("doc_id", F.col("xml").alias("form"), "error_code").join(xml, "doc_id")
+    return found.select("doc_id", "error_code", (F.col("form") == F.col("xml")).alias("same_form"))
+
+
+PDF_STREAMS = """
+SELECT o_orderkey::VARCHAR AS doc_id, CASE WHEN o_orderkey % 5 = 4 THEN 'PDF_XFA_DATASET_NOT_FOUND' END AS error_code,
+  CASE WHEN o_orderkey % 5 <> 4 THEN true END AS same_form
+FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)
+"""
+
+
+def municipal_form_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forms that can't be read in one place or another: the first error fails them, in the order in which a form is read."""
+    none = F.lit(None).cast("string")
+    done = xfa.xfa_dataset(render.faulty_forms(render.municipal_base(spark, sf_dir)).withColumns({"error_code": none, "error_message": none}))
+    return done.select("doc_id", "ok", "code", "error", F.when(F.col("ok"), cents("opening_balance")).alias("opening_cents"), F.when(F.col("ok"), F.size("items")).cast("long").alias("n_items"))
+
+
+MUNICIPAL_FORM_ERRORS = (
+    _MUNICIPAL
+    + """
+, e AS (SELECT *, CASE k % 8 WHEN 2 THEN 'Invalid month: Smarch' WHEN 3 THEN 'Invalid month: Smarch' WHEN 4 THEN 'Invalid money amount: n/a'
+  WHEN 6 THEN 'Invalid money amount: x/y' END AS error FROM c)
+SELECT doc_id, error IS NULL AS ok, CASE WHEN error IS NOT NULL THEN 'PARSE_FAILED' END AS code, error,
+  CASE WHEN error IS NULL THEN (opening * 100)::BIGINT END AS opening_cents,
+  CASE WHEN error IS NULL THEN n + 1 + (interest > 0)::BIGINT + (paid > 0)::BIGINT END AS n_items
+FROM e
+"""
+)
+
+
+def municipal_invoice_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tax invoices with their labels in the other places where they are looked for."""
+    done = municipal.standard_text(render.invoice_variants(render.municipal_base(spark, sf_dir)))
+    dates = F.array_join(F.array_sort(F.array_distinct(F.transform("items", lambda x: x["date"]))), ",")
+    return _municipal_rows(done).join(done.select("doc_id", dates.alias("dates")), "doc_id")
+
+
+MUNICIPAL_INVOICE_VARIANTS = (
+    _MUNICIPAL
+    + f"""
+, r AS ({_rows_sql("true", "''")})
+SELECT r.*, CASE WHEN k % 4 <> 1 THEN month::VARCHAR WHEN month < '2001-02-01' THEN month::VARCHAR || ',2001-02-01' ELSE '2001-02-01,' || month::VARCHAR END AS dates
+FROM r JOIN c USING (doc_id)
+"""
+)
+
+
+def municipal_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each strategy fared with each document: its warning codes once each, its error, and where its text came from.
+    Texts of every 4th order are in sections."""
+    base, k = render.municipal_base(spark, sf_dir), F.col("doc_id").cast("long")
+    invoices, sections = render.invoice_documents(base), render.section_documents(base).withColumnRenamed("text", "sections")
+    text = invoices.join(sections, "doc_id").select("doc_id", F.when(k % 4 == 0, F.col("sections")).otherwise(F.col("text")).alias("text"), (k % 3 + 1).alias("pages"))
+    xml = render.xfa_documents(base).withColumns({"xml": F.when(k % 5 != 4, F.col("xml")), "error_code": F.when(k % 5 == 4, NO_DATASET[0]), "error_message": F.when(k % 5 == 4, NO_DATASET[1])})
+    items = render.layout_items(invoices).withColumn("page", F.when(F.col("y") < 750, 2).otherwise(1))
+    done = municipal_job(text=text, xml=xml, items=items)["results"]
+    one = done.select("doc_id", F.explode("diagnostics").alias("d"))
+    return one.select("doc_id", "d.strategy", "d.ok", F.array_join("d.warning_codes", ",").alias("warning_codes"), F.try_element_at("d.errors", F.lit(1))["code"].alias("error_code"), "d.provenance.extraction", "d.provenance.pages", "d.provenance.item_count")
+
+
+MUNICIPAL_DIAGNOSTICS = (
+    _MUNICIPAL
+    + f"""
+, o AS (SELECT *, {_GATED} AS gated, {_GATE_CODE} AS gate_code,
+    3 + CASE WHEN k % 13 = 0 THEN 6 ELSE 8 END + 2 * (paid > 0)::INT + 2 * (interest > 0)::INT + 4 * n AS n_items FROM c)
+SELECT doc_id, 'standard-text' AS strategy, k % 4 = 0 OR gated AS ok, CASE WHEN k % 4 = 0 THEN 'EJOBURG_CHARGE_SKIPPED' ELSE '' END AS warning_codes,
+  CASE WHEN k % 4 <> 0 THEN nullif(gate_code, '') END AS error_code, 'pdf-text' AS extraction,
+  CASE WHEN k % 4 = 0 OR gated THEN k % 3 + 1 END::BIGINT AS pages, NULL::BIGINT AS item_count FROM o
+UNION ALL SELECT doc_id, 'xfa-dataset', k % 5 <> 4, '', CASE WHEN k % 5 = 4 THEN 'PDF_XFA_DATASET_NOT_FOUND' END, 'xfa-dataset', NULL, NULL FROM o
+UNION ALL SELECT doc_id, 'layout-aware', gated, '', nullif(gate_code, ''), 'layout-text', CASE WHEN gated THEN 2 END, CASE WHEN gated THEN n_items END FROM o
+"""
+)
+
+
+def municipal_strategy_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return strategy_report(_three_strategies(spark, sf_dir)["results"])
+
+
+MUNICIPAL_STRATEGY_REPORT = (
+    _STRATEGIES
+    + """
+, p AS (SELECT *, concat_ws('+', CASE WHEN text_ok THEN 'standard-text' END, CASE WHEN xml_ok THEN 'xfa-dataset' END, CASE WHEN layout_ok THEN 'layout-aware' END) AS pattern,
+  NOT ok AS review_required, CASE WHEN ok AND (text_ok OR NOT xml_ok OR k % 6 <> 1) THEN k END AS account FROM d)
+SELECT CASE WHEN grouping(pattern) = 0 THEN 'pattern' WHEN grouping(review_required) = 0 THEN 'review' ELSE 'all' END AS grouping, pattern, review_required,
+  count(*) AS documents, sum(ok::INT)::BIGINT AS succeeded, sum(ok::INT)::BIGINT AS reconciled, count(DISTINCT account) AS accounts
+FROM p GROUP BY GROUPING SETS ((pattern), (review_required), ())
+"""
+)
+
+
+def layout_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positioned items stored and read again: blank ones left out, coordinates to two places, and the texts that they make."""
+    items = render.layout_items(render.invoice_documents(render.municipal_base(spark, sf_dir)))
+    blank = items.withColumns({"text": F.lit(" \u00a0"), "y": F.col("y") - 3})
+    off = items.withColumns({c: F.col(c) + F.lit(0.004) for c in ("x", "y", "width", "height")})
+    path = new_table(spark, "items")
+    off.unionByName(blank).write.parquet(path)
+    read = layout_documents(read_layout_items(spark, path))
+    return read.select("doc_id", "pages", "item_count", F.size(F.split("text", "\n")).cast("long").alias("n_lines"))
+
+
+LAYOUT_FILES = (
+    _MUNICIPAL
+    + """
+SELECT doc_id, 1 AS pages, 3 + CASE WHEN k % 13 = 0 THEN 6 ELSE 8 END + 2 * (paid > 0)::INT + 2 * (interest > 0)::INT + 4 * n AS item_count,
+  3 + CASE WHEN k % 13 = 0 THEN 3 WHEN k % 2 = 0 THEN 4 ELSE 8 END + (paid > 0)::INT + (interest > 0)::INT + 3 * n AS n_lines
+FROM c
+"""
+)
+
+
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line split and normal form of every text."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
@@ -391,7 +534,7 @@ SELECT page_id, nullif({_DECODED.format("regexp_replace(" + _STRIPPED.format("t"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (bank_reconciliation, bank_lines, bank_issues, bank_csv, bank_report, bank_envelopes, municipal_sections, municipal_checks, municipal_csv, municipal_invoices, municipal_layout, municipal_forms, municipal_consolidation, municipal_report, municipal_envelopes, pdf_extraction, document_lines, document_amounts, page_blocks)
+    for f in (bank_reconciliation, bank_lines, bank_issues, bank_csv, bank_report, bank_envelopes, municipal_sections, municipal_checks, municipal_csv, municipal_invoices, municipal_layout, municipal_forms, municipal_consolidation, municipal_report, municipal_envelopes, bank_routes, municipal_form_errors, municipal_invoice_variants, municipal_diagnostics, municipal_strategy_report, layout_files, pdf_extraction, pdf_streams, document_lines, document_amounts, page_blocks)
 }
 SQL: dict[str, str] = {
     "bank_reconciliation": BANK_RECONCILIATION,
@@ -409,7 +552,14 @@ SQL: dict[str, str] = {
     "municipal_consolidation": MUNICIPAL_CONSOLIDATION,
     "municipal_report": MUNICIPAL_REPORT,
     "municipal_envelopes": MUNICIPAL_ENVELOPES,
+    "bank_routes": BANK_ROUTES,
+    "municipal_form_errors": MUNICIPAL_FORM_ERRORS,
+    "municipal_invoice_variants": MUNICIPAL_INVOICE_VARIANTS,
+    "municipal_diagnostics": MUNICIPAL_DIAGNOSTICS,
+    "municipal_strategy_report": MUNICIPAL_STRATEGY_REPORT,
+    "layout_files": LAYOUT_FILES,
     "pdf_extraction": PDF_EXTRACTION,
+    "pdf_streams": PDF_STREAMS,
     "document_lines": DOCUMENT_LINES,
     "document_amounts": DOCUMENT_AMOUNTS,
     "page_blocks": PAGE_BLOCKS,

@@ -6,6 +6,11 @@ can be worked out from the tables alone.
 
 from __future__ import annotations
 
+import gzip
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -151,6 +156,43 @@ def xfa_documents(base: DataFrame, shift: Column | None = None, account: Column
     return base.select(k.cast("string").alias("doc_id"), xml.alias("xml"))
 
 
+def faulty_forms(base: DataFrame) -> DataFrame:
+    """(doc_id, xml), by k % 8: 1 an unreadable item outside every category, 2 an item's month misspelt, 3 the bill's, 4 arrears
+    that aren't an amount and no previous balance, 5 such arrears beside a previous balance, 6 an unreadable summary amount
+    and an unreadable item, 7 a misspelt month on an item of zero."""
+    k = F.col("k") % 8
+    forms = xfa_documents(base).join(base.select(F.col("k").cast("string").alias("doc_id"), "k"), "doc_id")
+    put = lambda xml, after, text: F.replace(xml, F.lit(after), F.lit(after + text))
+    item = lambda amount, more="": f"<b:CategoryLineItem><b:ItemDescription>Extra</b:ItemDescription><b:ItemAmount>{amount}</b:ItemAmount>{more}</b:CategoryLineItem>"
+    within = lambda inner: f"<b:CategoryType><b:CategoryName>Extra</b:CategoryName>{inner}</b:CategoryType>"
+    body, details = "<b:Body>", "<b:BillSummaryDetails>"
+    arrears = "<b:Arrears><b:TotalOutstanding>n/a</b:TotalOutstanding></b:Arrears>"
+    month = "<b:ItemDate>Smarch 2024</b:ItemDate>"
+    xml = F.col("xml")
+    xml = F.when(k == 1, put(xml, body, item("n/a"))).when(k == 2, put(xml, body, within(item("1.00", month)))).when(k == 3, put(xml, "<b:PersonalDetails>", "<b:Date>Smarch 2024</b:Date>")).when(
+        k == 4, F.replace(put(xml, details, arrears), F.lit("Previous Account Balance"), F.lit("Earlier balance"))
+    ).when(k == 5, put(xml, details, arrears)).when(k == 6, put(put(xml, body, within(item("n/a"))), details, "<b:SummaryBreakdown><b:Description>Other</b:Description><b:Amount>x/y</b:Amount></b:SummaryBreakdown>")).when(
+        k == 7, put(xml, body, within(item("0.00", month)))
+    ).otherwise(xml)
+    return forms.select("doc_id", xml.alias("xml"))
+
+
+def invoice_variants(base: DataFrame) -> DataFrame:
+    """(doc_id, text) of tax invoices with labels elsewhere, by k % 4: 0 the total due two lines below its label, 1 the month
+    as a billing period, and each charge with that of another year, 2 the month by a date alone and the account number by the
+    short label, 3 the amount outstanding in place of the total due."""
+    k, month = F.col("k"), F.col("month")
+    label = lambda text, amount: F.array(F.concat(F.lit(f"{text} "), money(amount)))
+    title = F.array(F.when(k % 4 == 1, F.concat(F.lit("( Billing Period "), F.date_format(month, "yyyy/MM"), F.lit(" )"))), F.lit("TAX INVOICE"), F.when(k % 4 == 2, F.lit("Statement for")).otherwise(F.concat(F.lit("Statement for "), month_name(month), F.lit(" "), F.year(month).cast("string"))))
+    account = F.when(k % 4 == 2, F.array(F.lit("Account Number: see below"), F.concat(F.lit("Acc. No.: "), k.cast("string")), F.concat(F.lit("Date "), F.date_format(month, "yyyy/MM/dd")))).otherwise(F.array(F.concat(F.lit("Account Number: "), k.cast("string"))))
+    due = F.when(k % 4 == 0, F.array(F.lit("Total Due"), F.lit("by the last day"), F.lit("of next month"), money(F.col("closing")))).when(k % 4 == 3, label("TOTAL AMOUNT OUTSTANDING", F.col("closing"))).otherwise(label("Total Due", F.col("closing")))
+    summary = F.concat(label("Previous Account Balance", F.col("opening")), label("Current Charges (Excl. VAT)", F.col("net")), label("VAT @ 15%", F.col("vat")), due)
+    extras = F.array(F.when(F.col("paid") > 0, F.concat(F.lit("Less: Incoming Payment "), money(F.col("paid")))), F.when(F.col("interest") > 0, F.concat(F.lit("Interest on Arrears "), money(F.col("interest")))))
+    charge = lambda c: F.array(F.concat(c["category"], F.lit("VAT 4760117194Sub - TotalTotal")), F.concat(F.lit("Usage charge "), F.when(k % 4 == 1, F.lit("( Billing Period 2001/02 ) ")).otherwise(""), money(c["amount"])))
+    vat = F.array(F.concat(F.lit("VAT: 15.00% "), money(F.col("vat"))))
+    return base.select(k.cast("string").alias("doc_id"), joined(title, account, summary, extras, F.flatten(F.transform("charges", charge)), vat).alias("text"))
+
+
 def layout_items(lines: DataFrame) -> DataFrame:
     """Positioned items of (doc_id, lines): each line is a row; its last word, where it is an amount, is an item of its own one
     unit higher; items are in no order."""
@@ -171,3 +213,19 @@ def pdf_files(docs: DataFrame, xml: DataFrame) -> DataFrame:
     start = F.when(F.col("doc_id").cast("long") % 9 == 0, "%XXX").otherwise("%PDF-1.7")
     content = F.concat(start, F.lit("\n"), literals, F.lit("\n1 0 obj\nstream\n"), "xml", F.lit("\nendstream\nendobj\n"))
     return docs.join(xml, "doc_id").select("doc_id", F.encode(content, "UTF-8").alias("content"))
+
+
+def packed_files(xml: DataFrame) -> DataFrame:
+    """(doc_id, content) with the dataset in a stream after one of other things, by key: 0 as it is, 1 zlib, 2 gzip, 3 raw deflate,
+    4 zlib without its last bytes."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw = lambda x: (c := zlib.compressobj(wbits=-zlib.MAX_WBITS)).compress(x) + c.flush()
+        ways = [lambda x: x, zlib.compress, gzip.compress, raw, lambda x: zlib.compress(x)[:-6]]
+        wrap = lambda x: b"1 0 obj\nstream\r\n" + x + b"\nendstream\nendobj\n"
+        for batch in batches:
+            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            files = [b"%PDF-1.7\n" + wrap(b"<a>other</a>") + wrap(ways[int(doc) % 5](x.encode())) for doc, x in rows]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(files, pa.binary())], ["doc_id", "content"])
+
+    return xml.select("doc_id", "xml").mapInArrow(pack, "doc_id string, content binary")

@@ -2,32 +2,24 @@
 
 from __future__ import annotations
 
-import re
-import zlib
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import file_name
+
 #: The codes and messages of documents that can't be read.
 INVALID = ("INVALID_PDF", "Input file does not look like a PDF.")
 UNREADABLE = "FILE_NOT_READABLE"
-NO_DATASET = ("PDF_XFA_DATASET_NOT_FOUND", "No embedded XFA dataset XML was found in the PDF.")
 ITEMS_SCHEMA = "doc_id string, page int, text string, x double, y double, width double, height double"
 
 
-def source_file_name(path: Column) -> Column:
-    return F.element_at(F.split(path, "/"), -1)
-
-
 def read_pdf_files(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, source_file_name, content, error_code, error_message) of the files in a folder; a file that doesn't start as
     a PDF carries the error and no content."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     good = F.substring("content", 1, 5) == F.lit(b"%PDF-")
     fault = lambda text: F.when(~good, F.lit(text))
-    return files.select(F.col("path").alias("doc_id"), source_file_name(F.col("path")).alias("source_file_name"), F.when(good, F.col("content")).alias("content"), fault(INVALID[0]).alias("error_code"), fault(INVALID[1]).alias("error_message"))
+    return files.select(F.col("path").alias("doc_id"), file_name(F.col("path")).alias("source_file_name"), F.when(good, F.col("content")).alias("content"), fault(INVALID[0]).alias("error_code"), fault(INVALID[1]).alias("error_message"))
 
 
 def missing_files(requested: DataFrame, loaded: DataFrame) -> DataFrame:
@@ -43,37 +35,6 @@ def read_extracted_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_layout_items(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:
-    """Positioned items as written by an extractor, Parquet or JSON lines."""
+    """Positioned items as written by an extractor, Parquet or JSON lines; blank ones and coordinates are cleaned where they
+    are laid out."""
     return spark.read.format(kind).schema(ITEMS_SCHEMA).load(path)
-
-
-_STREAM = re.compile(rb"stream\r?\n(.*?)\nendstream", re.S)
-_START = re.compile(r"<(?:[A-Za-z_][\w.-]*:)?datasets\b", re.I | re.A)
-_END = re.compile(r"</(?:[A-Za-z_][\w.-]*:)?datasets>", re.I | re.A)
-
-
-def dataset_of(content: bytes | None) -> str | None:
-    """The first datasets element in the streams of a file, each read as it is, as zlib, as gzip and as raw deflate. A
-    carriage return before the end mark belongs to the stream."""
-    for stream in _STREAM.findall(content or b""):
-        for window in (None, zlib.MAX_WBITS, 32 + zlib.MAX_WBITS, -zlib.MAX_WBITS):
-            try:
-                text = (stream if window is None else zlib.decompressobj(window).decompress(stream)).decode("utf-8", "replace")
-            except zlib.error:
-                continue
-            if (start := _START.search(text)) and (end := _END.search(text, start.start())):
-                return text[start.start() : end.end()]
-    return None
-
-
-def xfa_datasets(files: DataFrame) -> DataFrame:
-    """(doc_id, xml, error_code, error_message) of read_pdf_files: only inflating the streams needs Python."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            xml = [dataset_of(x) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(xml, pa.string()), *batch.columns[2:]], ["doc_id", "xml", "error_code", "error_message"])
-
-    out = files.select("doc_id", "content", "error_code", "error_message").mapInArrow(run, "doc_id string, xml string, error_code string, error_message string")
-    none = F.col("xml").isNull()
-    return out.withColumns({"error_code": F.coalesce("error_code", F.when(none, F.lit(NO_DATASET[0]))), "error_message": F.coalesce("error_message", F.when(none, F.lit(NO_DATASET[1])))})

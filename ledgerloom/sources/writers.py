@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.scalars import plain_number
@@ -49,3 +49,12 @@ def write_text(docs: DataFrame, path: str) -> None:
 def route(results: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents that succeeded, and those that failed: these keep their errors and no data."""
     return results.where("ok"), results.where("NOT ok")
+
+
+def write_routed(results: DataFrame, path: str, mode: str = "errorifexists") -> dict[str, int]:
+    """Writes finished documents in one pass, those that succeeded and those that failed into folders of their own, and returns
+    how many there are of each: {"ok": .., "failed": ..}."""
+    seen = Observation("routes")
+    counts = [F.count_if(F.col("ok")).alias("ok"), F.count_if(~F.col("ok")).alias("failed")]
+    results.observe(seen, *counts).write.partitionBy("ok").mode(mode).parquet(path)
+    return {k: int(v) for k, v in seen.get.items()}

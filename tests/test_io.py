@@ -1,11 +1,19 @@
 """Readers, writers, streaming and the registered queries."""
 
+import gzip
+import json
+import random
+import re
+import tracemalloc
+import zlib
+
 import duckdb
 
 import __spark_entry__
+from ledgerloom.operators.layout import clean_items, layout_documents
 from ledgerloom.plans import queries
-from ledgerloom.plans.jobs import bank_job
-from ledgerloom.sources import readers, writers
+from ledgerloom.plans.jobs import bank_envelope, bank_job, stored_bank_job
+from ledgerloom.sources import readers, streams, writers
 from ledgerloom.streaming.ingest import bank_stream
 
 TEXT = "Period: 2026-01-01 to 2026-01-31\nTransactions\n2026-01-05 | A, \"b\" | 5.00 | 15.00\n"
@@ -43,6 +51,93 @@ def test_stream(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out" / "lines")).count() == 1
 
 
+def test_routes_from_one_parse(spark, tmp_path):
+    docs = spark.createDataFrame([("in/d.pdf", TEXT), ("in/e.pdf", "nothing")], "doc_id string, text string")
+    done, counts = stored_bank_job(docs, str(tmp_path / "results"))
+    assert counts == {"ok": 1, "failed": 1} and sorted(p.name for p in (tmp_path / "results").glob("ok=*")) == ["ok=false", "ok=true"]
+    assert [(r.source_file_name, r.ok) for r in done["statements"].orderBy("doc_id").collect()] == [("d.pdf", True), ("e.pdf", False)]
+    plain = bank_job(docs)
+    for name in ("statements", "lines", "checks", "issues"):
+        assert sorted(map(repr, done[name].collect())) == sorted(map(repr, plain[name].collect()))
+    assert all("Window" not in t._jdf.queryExecution().executedPlan().toString() for t in done.values())  # nothing is parsed again
+    ok, failed = writers.route(done["results"])
+    assert [r.doc_id for r in ok.collect()] == ["in/d.pdf"] and [(r.doc_id, r.error is None) for r in failed.collect()] == [("in/e.pdf", False)]
+    none, counts = stored_bank_job(docs.where("false"), str(tmp_path / "none"))
+    assert counts == {"ok": 0, "failed": 0} and none["lines"].count() == 0
+    envelope = bank_envelope(done["results"], "bank")
+    writers.write_results(envelope, str(tmp_path / "json"))
+    written = [json.loads(x) for p in (tmp_path / "json").glob("*.json") for x in p.read_text().splitlines()]
+    assert sorted((x["metadata"]["sourceFileName"], "data" in x) for x in written) == [("d.pdf", True), ("e.pdf", False)]
+
+
+def test_items_and_texts(spark, tmp_path):
+    rows = [("d", 1, " a ", 1.006, 2.0, 3.0, 4.0), ("d", 1, " \u00a0", 5.0, 2.0, 3.0, 4.0), ("d", 3, "b", 1.0, 2.0, 3.0, 4.0)]
+    spark.createDataFrame(rows, readers.ITEMS_SCHEMA).write.json(str(tmp_path / "items"))
+    items = readers.read_layout_items(spark, str(tmp_path / "items"), "json")
+    assert sorted((r.text, r.x) for r in clean_items(items).collect()) == [("a", 1.01), ("b", 1.0)]
+    found = layout_documents(items).collect()
+    assert [(r.text, r.pages, r.item_count) for r in found] == [("a\nb", 3, 2)]
+    writers.write_text(layout_documents(items), str(tmp_path / "texts"))
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "texts")).collect()] == [("d", "a\nb")]
+
+
+def test_streams_of_all_kinds(monkeypatch):
+    """Against whole streams inflated at once; small pieces put every mark across a border somewhere."""
+    draw = random.Random(2)
+    raw = lambda x: (c := zlib.compressobj(wbits=-zlib.MAX_WBITS)).compress(x) + c.flush()
+    packs = [lambda x: x, zlib.compress, gzip.compress, raw, lambda x: gzip.compress(x[:5]) + gzip.compress(x[5:]), lambda x: zlib.compress(x) + b"more"]
+    bits = ["<xfa:datasets>", "</xfa:datasets>", "<DataSets a='1'>", "</datasets>", "<datasetsx>", "<datasets", "x é", "<b>", "stream\n", " " * 9]
+    monkeypatch.setattr(streams, "PIECE", 7)
+    monkeypatch.setattr(streams, "TAG", 40)
+    hits = 0
+    for _ in range(1500):
+        parts = []
+        for _ in range(draw.randint(0, 3)):
+            packed = draw.choice(packs)("".join(draw.choices(bits, k=draw.randint(0, 6))).encode())
+            packed = packed[: draw.randint(0, len(packed))] if draw.random() < 0.15 else packed
+            parts.append(b"stream" + draw.choice([b"\n", b"\r\n"]) + packed + draw.choice([b"\nendstream", b"\r\nendstream", b"endstream"]))
+        content = b"%PDF\n" + b"\nendobj ".join(parts)
+        wanted = plain_dataset(content)
+        hits += wanted is not None
+        assert streams.dataset_of(content) == wanted
+    assert hits > 100
+
+
+def plain_dataset(content):
+    for stream in re.findall(rb"stream\r?\n(.*?)\nendstream", content, re.S):
+        for window in (None, 15, 47, -15):
+            whole, rest = b"", stream
+            try:
+                while window:
+                    decoder = zlib.decompressobj(window)
+                    whole += decoder.decompress(rest)
+                    if not decoder.eof:
+                        raise zlib.error
+                    rest = decoder.unused_data
+                    if window < 16 or not rest.startswith(b"\x1f\x8b"):
+                        break
+            except zlib.error:
+                continue
+            text = (whole if window else stream).decode("utf-8", "replace")
+            if (start := re.search(r"<(?:[A-Za-z_][\w.-]*:)?datasets\b", text, re.I | re.A)) and (end := re.search(r"</(?:[A-Za-z_][\w.-]*:)?datasets>", text[start.start() :], re.I | re.A)):
+                return text[start.start() : start.start() + end.end()]
+    return None
+
+
+def test_streams_in_bounded_memory():
+    """A stream that inflates to 400 MB beside its dataset takes a few MB; one dataset that is too long isn't kept."""
+    bomb = zlib.compressobj()
+    packed = bomb.compress(b"<datasets>a</datasets>") + b"".join(bomb.compress(b"\0" * (1 << 20)) for _ in range(400)) + bomb.flush()
+    wrapped = b"stream\n" + packed + b"\nendstream"
+    tracemalloc.start()
+    assert streams.dataset_of(wrapped) == "<datasets>a</datasets>"
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 16 << 20
+    assert streams.dataset_of(wrapped[:-14] + b"\nendstream") is None  # cut off: not sound, whatever came before
+    assert streams.dataset_of(b"stream\n<datasets>" + b"a" * 5000 + b"</datasets>\nendstream", longest=1000) is None
+
+
 def test_queries_have_sql():
     assert set(queries.SQL) == set(queries.QUERIES) <= set(__spark_entry__.queries())
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ledgerloom.operators import consolidate, municipal, xfa
 from ledgerloom.operators.layout import layout_documents
 from ledgerloom.plans.jobs import envelope, municipal_job
-from ledgerloom.sources.readers import dataset_of, xfa_datasets
+from ledgerloom.sources.streams import dataset_of, xfa_datasets
 from ledgerloom.sources.writers import csv_line, municipal_csv_rows
 
 SECTIONS = "Account Number: 12\nBilling Period: 2026-01-01 to 2026-01-31\nOpening Balance: R500.00\nClosing Balance: R750.00\nCharges\nDate Description Amount Reference\n2026-01-03 | Electricity, day | 300.00 | E\n04/01/2026 Water 100.00 W1\nPayments\n2026-01-20 | Paid | -150.00\n"
@@ -156,16 +156,16 @@ ITEMS = [("charge", "2026-01-03", "Electricity", Decimal(300), None, "a"), ("pay
 
 
 def result(spark, rows):
-    schema = f"doc_id string, ok boolean, account_number string, period_from string, period_to string, opening_balance decimal(18,2), closing_balance decimal(18,2), items array<{municipal.ITEM}>, warnings array<{municipal.NOTE}>, code string, error string, strategy string, extraction string"
+    schema = f"doc_id string, ok boolean, account_number string, period_from string, period_to string, opening_balance decimal(18,2), closing_balance decimal(18,2), items array<{municipal.ITEM}>, warnings array<{municipal.NOTE}>, code string, error string, strategy string, provenance struct<extraction:string,pages:long,item_count:long>"
     return spark.createDataFrame(rows, schema)
 
 
 def ok(doc, strategy, account="1", closing=750, items=ITEMS, warnings=()):
-    return (doc, True, account, "2026-01-01", "2026-01-31", Decimal(500), Decimal(closing), items, list(warnings), None, None, strategy, "x")
+    return (doc, True, account, "2026-01-01", "2026-01-31", Decimal(500), Decimal(closing), items, list(warnings), None, None, strategy, ("x", 2, 9))
 
 
 def failed(doc, strategy):
-    return (doc, False, None, None, None, None, None, None, [("IGNORED", "m")], "PARSE_FAILED", "m", strategy, "x")
+    return (doc, False, None, None, None, None, None, None, [("IGNORED", "m")], "PARSE_FAILED", "m", strategy, ("x", None, None))
 
 
 def test_consolidation(spark):
@@ -186,6 +186,7 @@ def test_consolidation(spark):
     assert found["differ"].code == "EJOBURG_STRATEGY_DISAGREEMENT" and found["differ"]["items"] is None
     assert found["none"].code == "EJOBURG_ALL_STRATEGIES_FAILED" and found["none"].confidence == "low"
     assert [d.ok for d in found["one"].diagnostics] == [False, True, False]
+    assert [tuple(d.provenance) for d in found["one"].diagnostics] == [("x", None, None), ("x", 2, 9), ("x", None, None)]
     nested = {r.doc_id: r for r in envelope(done, "p").collect()}
     assert nested["none"].data is None and len(nested["agreed"].data.charges) == 1
 
@@ -196,3 +197,29 @@ def test_job_and_csv(spark):
     assert [r.csv for r in rows.collect()] == ['charge,2026-01-03,"Electricity, day",300,ZAR,E', "charge,2026-01-04,Water,100,ZAR,W1", "payment,2026-01-20,Paid,-150,ZAR,"]
     assert out["statements"].select("ok", "status", "selected_strategy").collect()[0] == (True, "single-success", "standard-text")
     assert out["checks"].select(F.col("status")).collect()[0][0] == "passed"
+
+
+def test_stray_items_are_not_read(spark):
+    """An item outside every category isn't looked at; inside one, the first error in order fails the form."""
+    item = lambda amount, more="": f"<CategoryLineItem><ItemDescription>x</ItemDescription><ItemAmount>{amount}</ItemAmount>{more}</CategoryLineItem>"
+    group = lambda inner: f"<CategoryType><CategoryName>Water</CategoryName>{inner}</CategoryType>"
+    bill = lambda inner, entries="": f"<Bill><BillHeader><PersonalDetails><Period>2026-01</Period></PersonalDetails></BillHeader><Summary><BillSummaryDetails><TotalDue>11.00</TotalDue><SummaryBreakdown><Description>Previous Account Balance</Description><Amount>1.00</Amount></SummaryBreakdown>{entries}</BillSummaryDetails></Summary>{inner}</Bill>"
+    bad = "<SummaryBreakdown><Description>Other</Description><Amount>x/y</Amount></SummaryBreakdown>"
+    month = "<ItemDate>Smarch 2026</ItemDate>"
+    forms = {
+        "stray": bill(item("n/a") + group(item("10.00"))),
+        "first": bill(group(item("10.00") + item("a/b")) + group(item("c/d"))),
+        "date": bill(group(item("10.00", month) + item("a/b"))),
+        "zero": bill(group(item("0.00", month) + item("10.00"))),
+        "summary": bill(group(item("a/b")), bad),
+    }
+    docs = spark.createDataFrame([(k, v, None, None) for k, v in forms.items()], "doc_id string, xml string, error_code string, error_message string")
+    found = {r.doc_id: r.error for r in xfa.xfa_dataset(docs).collect()}
+    assert found == {"stray": None, "first": "Invalid money amount: a/b", "date": "Invalid month: Smarch", "zero": None, "summary": "Invalid money amount: x/y"}
+
+
+def test_sections_and_invoices_are_parsed_once(spark):
+    """One scan of the texts feeds both layouts, and what isn't an invoice has no lines to sort."""
+    docs = spark.createDataFrame([("d", "x")], "doc_id string, text string")
+    plan = municipal.standard_text(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") == 1 and "Union" not in plan
