@@ -415,7 +415,7 @@ MUNICIPAL_INVOICE_VARIANTS = (
     _MUNICIPAL
     + f"""
 , r AS ({_rows_sql("true", "''")})
-SELECT r.*, CASE WHEN k % 4 <> 1 THEN month::VARCHAR WHEN month < '2001-02-01' THEN month::VARCHAR || ',2001-02-01' ELSE '2001-02-01,' || month::VARCHAR END AS dates
+SELECT r.*, CASE WHEN k % 4 <> 1 OR month = '2001-02-01' THEN month::VARCHAR WHEN month < '2001-02-01' THEN month::VARCHAR || ',2001-02-01' ELSE '2001-02-01,' || month::VARCHAR END AS dates
 FROM r JOIN c USING (doc_id)
 """
 )
