@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -25,8 +26,10 @@ from .common import texts_of
 
 #: The mark that stands for a blank in pieces; a fixed value of the format.
 BLANK = "▁"
-#: Entries that a worker keeps of pairs and of words before it starts anew, and the longest word that it keeps.
-KEPT_PAIRS, KEPT_WORDS, LONGEST_KEPT = 1 << 19, 1 << 18, 48
+#: Stands for the start of a run where the piece before is asked for.
+START = -1
+#: Entries that a worker keeps of pairs before it starts anew and of words before the older ones go, and the longest word kept.
+KEPT_PAIRS, KEPT_WORDS, LONGEST_KEPT = 1 << 19, 1 << 17, 48
 
 
 def merged(text: str, cost: dict[str, float]) -> list[str]:
@@ -65,63 +68,73 @@ class Codec:
         # a piece that merging its own characters doesn't make is never part of an encoding
         reached = {x: i for i in plain if merged(x := model.id_to_piece(i), self.cost) == [x]}
         self.reached, self.text = reached, {i: x for x, i in reached.items()}
-        self.size = {i: len(x) for x, i in reached.items()}
         prefixes = lambda x: (reached[x[:k]] for k in range(len(x) - 1, 0, -1) if x[:k] in reached)
-        self.shorter = {i: next(prefixes(x), -1) for x, i in reached.items()}
+        self.size = [len(self.text.get(i, "")) for i in ids]
+        self.shorter = [next(prefixes(self.text[i]), -1) if i in self.text else -1 for i in ids]
         self.automaton = ahocorasick.Automaton()
         for x, i in reached.items():
-            self.automaton.add_word(x, (len(x) - 1, i))
+            if len(x) > 1:
+                self.automaton.add_word(x, (len(x) - 1, i))
         self.automaton.make_automaton()
         others = re.escape("".join(sorted(self.known)))
         self.unknown = re.compile(f"[^{others}]")
         self.known_runs = re.compile(f"[{others}]+|[^{others}]")
         lines = "" if "\n" in self.known else "\n"
         self.words = re.compile(f"{BLANK}+[^{BLANK}{lines}]*|[^{BLANK}{lines}]+|\n")
-        self.pairs: dict[int, bool] = {}
+        #: Which pieces fit after which, and the ids of words: those of late, and those of before that haven't come again.
+        self.after: dict[int, dict[int, bool]] = defaultdict(dict)
+        self.n_pairs = 0
         self.seen: dict[str, list[int]] = {}
-
-    def fits(self, pair: int) -> bool:
-        """Whether two pieces that follow each other stay these two when their text is merged anew. A pair is one number."""
-        if len(self.pairs) >= KEPT_PAIRS:
-            self.pairs.clear()
-        a, b = self.text[pair >> 32], self.text[pair & 0xFFFFFFFF]
-        found = self.pairs[pair] = merged(a + b, self.cost) == [a, b]
+        self.seen_before: dict[str, list[int]] = {}
+
+    def fits(self, left: int, right: int) -> bool:
+        """Whether two pieces that follow each other stay these two when their text is merged anew; any piece follows START."""
+        if self.n_pairs >= KEPT_PAIRS:
+            self.after, self.n_pairs = defaultdict(dict), 0
+        found = left == START or merged(self.text[left] + self.text[right], self.cost) == [self.text[left], self.text[right]]
+        self.after[left][right] = found
+        self.n_pairs += 1
         return found
 
     def backtrack(self, run: str) -> list[int]:
         """The ids of a run of known characters."""
         if run in self.reached:
             return [self.reached[run]]
-        longest, size, pairs, n = [-1] * (len(run) + 1), self.size, self.pairs, len(run)
+        size, shorter, n = self.size, self.shorter, len(run)
+        longest = [self.reached[x] for x in run]
+        longest.append(-1)
         for end, (before, piece) in self.automaton.iter(run):
             longest[end - before] = piece  # matches come by their ends, so that the last one to start here is the longest
-        failed, done, at, piece, last = None, [], 0, longest[0], -1
+        failed, done, at, piece, last = None, [], 0, longest[0], START
+        after = self.after[last]
         while at < n:
             end = at + size[piece]
-            open_end = failed is None or not failed[end >> 3] >> (end & 7) & 1
-            pair = last << 32 | piece
-            if open_end and (last < 0 or (pairs[pair] if pair in pairs else self.fits(pair))):
+            fits = after.get(piece)
+            if fits is None:
+                fits = self.fits(last, piece)
+            if fits and (failed is None or not failed[end >> 3] >> (end & 7) & 1):
                 done.append(piece)
-                at, last, piece = end, piece, longest[end]
-            elif self.shorter[piece] >= 0:
-                piece = self.shorter[piece]
-            else:
+                at, last, after, piece = end, piece, self.after[piece], longest[end]
+            elif (piece := shorter[piece]) < 0:
                 failed = failed or bytearray(n // 8 + 1)
                 failed[at >> 3] |= 1 << (at & 7)
                 piece = done.pop()
-                at, last = at - size[piece], done[-1] if done else -1
+                at, last = at - size[piece], done[-1] if done else START
+                after = self.after[last]
         return done
 
     def word(self, text: str) -> list[int]:
-        """The ids of a part of a text that no merge crosses the ends of."""
-        if self.unknown.search(text):
-            parts = self.known_runs.findall(text)
-            found = [*chain.from_iterable(self.backtrack(x) if x[0] in self.known else (self.bytes[b] for b in x.encode()) for x in parts)]
-        else:
-            found = self.backtrack(text)
+        """The ids of a part of a text that no merge crosses the ends of; kept for when it comes again."""
+        found = self.seen_before.get(text)
+        if found is None:
+            if self.unknown.search(text):
+                parts = self.known_runs.findall(text)
+                found = [*chain.from_iterable(self.backtrack(x) if x[0] in self.known else (self.bytes[b] for b in x.encode()) for x in parts)]
+            else:
+                found = self.backtrack(text)
         if len(text) <= LONGEST_KEPT:
             if len(self.seen) >= KEPT_WORDS:
-                self.seen.clear()
+                self.seen_before, self.seen = self.seen, {}
             self.seen[text] = found
         return found
 
@@ -129,9 +142,9 @@ class Codec:
         """As the library encodes, without begin or end ids: a blank goes before the text unless it is empty."""
         if not text:
             return []
-        seen, word, ids = self.seen, self.word, []
+        word, ids = self.word, []
         for x in self.words.findall(BLANK + text.replace(" ", BLANK)):
-            ids += seen[x] if x in seen else word(x)
+            ids += self.seen.get(x) or word(x)
         return ids
 
     def decode(self, ids: list[int]) -> str:
