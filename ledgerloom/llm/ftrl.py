@@ -1,7 +1,8 @@
 """Sparse logistic regression over hashed features, trained with FTRL-proximal updates.
 
 Features are places in a table of 2**bits weights and count once a document. A model is fitted on a bounded sample of
-labelled rows: their features come from the executors, and one task, whose input has that bound, runs the updates. L1
+labelled documents, one for each doc_id however often it occurs: their features come from the executors, and one task, which
+keeps no more than a stated number of documents and of features, runs the updates. L1
 leaves few weights; those go to the driver and with the scan, at most 2**bits of them.
 """
 
@@ -13,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,7 +32,8 @@ class Settings:
     l1: float = 1.0
     l2: float = 1.0
     epochs: int = 3
-    most_rows: int = 20_000  #: labelled rows to learn from at most, the first by hash of doc_id
+    most_rows: int = 20_000  #: labelled documents to learn from at most, the first by hash of doc_id
+    most_features: int = 1 << 27  #: features of all of them together at most, four bytes each; the first by the same hash
     seed: int = 42
 
 
@@ -44,7 +46,18 @@ def labelled_sample(labels: DataFrame, label: str, settings: Settings) -> DataFr
     """(doc_id, y) of the rows to learn from: not held out, label 0 or 1, one for each doc_id, at most most_rows."""
     rows = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col("doc_id")))
     rows = rows.groupBy("doc_id").agg(F.max(label).cast("double").alias("y"))
-    return rows.orderBy(F.xxhash64("doc_id", F.lit(settings.seed)), "doc_id").limit(settings.most_rows)
+    return rows.orderBy(_drawn(settings), "doc_id").limit(settings.most_rows)
+
+
+def _drawn(settings: Settings) -> Column:
+    return F.xxhash64("doc_id", F.lit(settings.seed))
+
+
+def examples(rows: DataFrame, settings: Settings) -> DataFrame:
+    """(doc_id, y, at) of rows (doc_id, y, at), one for each doc_id: of several texts of one doc_id that with the fewest features,
+    the least of these lists. In the order in which they are taken, in one partition; copies go before they are moved."""
+    chosen = rows.groupBy("doc_id").agg(F.first("y").alias("y"), F.min(F.struct(F.size("at").alias("n"), "at")).alias("least"))
+    return chosen.select("doc_id", "y", "least.at").repartition(1).sortWithinPartitions(_drawn(settings), "doc_id")
 
 
 def updates(examples: Iterator[tuple[np.ndarray, float]], z: np.ndarray, n: np.ndarray, settings: Settings) -> None:
@@ -83,14 +96,16 @@ def train(docs: DataFrame, labels: DataFrame, label: str, features: Features, se
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, found.rows), batch.column(2).slice(start, found.rows), lists], ["doc_id", "y", "at"])
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        examples = []  # views of the batches: four bytes a feature
+        learned, room = [], settings.most_features  # views of the batches: four bytes a feature
         for b in batches:
             flat, ends = b.column(1).flatten().to_numpy(), np.concatenate([[0], np.cumsum(pc.list_value_length(b.column(1)).to_numpy())])
-            examples += [(flat[ends[k] : ends[k + 1]], y) for k, y in enumerate(b.column(0).to_pylist())]
+            fitting = int(np.searchsorted(ends[1:], room, side="right")) if room > 0 else 0
+            learned += [(flat[ends[k] : ends[k + 1]], y) for k, y in enumerate(b.column(0).to_pylist()[:fitting])]
+            room = room - int(ends[fitting]) if fitting == len(b.column(0)) else 0
         z, n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
         order = np.random.default_rng(settings.seed)
         for _ in range(settings.epochs):
-            updates((examples[i] for i in order.permutation(len(examples))), z, n, settings)
+            updates((learned[i] for i in order.permutation(len(learned))), z, n, settings)
         w = weights(z, n, settings)
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w[at])], ["place", "weight"])
@@ -98,7 +113,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, features: Features, se
     sample = F.broadcast(labelled_sample(labels, label, settings))
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
     rows = docs.join(sample, "doc_id").select("doc_id", "text", "y").mapInArrow(extract, f"doc_id {kind}, y double, at array<int>")
-    fitted = rows.repartition(1).sortWithinPartitions("doc_id").select("y", "at").mapInArrow(fit, "place long, weight double").toPandas()
+    fitted = examples(rows, settings).select("y", "at").mapInArrow(fit, "place long, weight double").toPandas()
     return fitted["place"].to_numpy(np.int64), fitted["weight"].to_numpy(np.float64)
 
 

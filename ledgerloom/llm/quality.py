@@ -15,8 +15,8 @@ THRESHOLD = 0.3
 
 
 def features(found: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Words in lower case; n-grams of one to three word shapes (runs of capitals, of letters and of digits as one sign
-    each, other signs as they are); and pairs that are one word twice, as one feature."""
+    """N-grams of one to three words in lower case, and of one to three word shapes (runs of capitals, of letters and of digits
+    as one sign each, other signs as they are); and pairs that are one word twice, as one feature."""
     if not len(found.code):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     word = hash_strings(pc.utf8_lower(found.distinct))[found.code]
@@ -24,13 +24,15 @@ def features(found: Words) -> tuple[np.ndarray, np.ndarray]:
     for pattern, sign in ((r"\p{Lu}+", "A"), (r"[\p{Ll}\p{Lo}\p{Lm}\p{Lt}\p{M}]+", "a"), (r"\p{N}+", "0")):
         shapes = pc.replace_substring_regex(shapes, pattern, sign)
     shape = chain(hash_strings(shapes), np.uint64(1))[found.code]
-    rows, hashes = [found.row, found.row], [chain(word, np.uint64(0)), shape]
-    gram = shape
-    for n in (2, 3):
-        same = found.row[: -n + 1] == found.row[n - 1 :]
-        gram = chain(gram[: len(same)], shape[n - 1 :])
-        rows.append(found.row[n - 1 :][same])
-        hashes.append(gram[same])
+    rows, hashes = [], []
+    for of in (chain(word, np.uint64(0)), shape):
+        gram = of
+        for n in (1, 2, 3):
+            if n > 1:
+                gram = chain(gram[:-1], of[n - 1 :])
+            same = found.row[: len(gram)] == found.row[n - 1 :]
+            rows.append(found.row[n - 1 :][same])
+            hashes.append(gram[same])
     twice = (found.row[:-1] == found.row[1:]) & (word[:-1] == word[1:])
     rows.append(found.row[1:][twice])
     hashes.append(np.full(int(twice.sum()), 0x9E3779B97F4A7C15, np.uint64))
