@@ -56,34 +56,54 @@ def parse_money(x: Column) -> Column:
     return let(F.regexp_replace(x, f"(?i)R|ZAR|{WS}|,", ""), amount)
 
 
+def money_fault(x: Column) -> Column:
+    """What is wrong with a text that isn't an amount."""
+    return F.concat(F.lit("Invalid money amount: "), x)
+
+
 def money_error(x: Column) -> Column:
-    return let(x, lambda v: F.when(v.isNotNull() & parse_money(v).isNull(), F.concat(F.lit("Invalid money amount: "), v)))
+    return let(x, lambda v: F.when(v.isNotNull() & parse_money(v).isNull(), money_fault(v)))
 
 
 _SIGNED = f"(?is)^(.+?){WS}*(Cr|Dr)$"
 
 
-def _unsigned(x: Column) -> Column:
+def unsigned(x: Column) -> Column:
+    """Without Cr or Dr at the end."""
     return let(x, lambda v: F.coalesce(group(trim(v), _SIGNED), v))
 
 
+def sign_of(x: Column) -> Column:
+    """cr or dr at the end, else null."""
+    return F.lower(group(trim(x), _SIGNED, 2))
+
+
+def by_sign(amount: Column, sign: Column) -> Column:
+    """cr is positive, dr negative, neither as written."""
+    return F.when(sign == "dr", -F.abs(amount)).when(sign == "cr", F.abs(amount)).otherwise(amount).cast(MONEY)
+
+
+def paid_out(amount: Column, sign: Column) -> Column:
+    """cr is positive; all else is money out."""
+    return F.when(sign == "cr", F.abs(amount)).otherwise(-F.abs(amount)).cast(MONEY)
+
+
 def _signed(x: Column, rule: Callable[[Column, Column], Column]) -> Column:
-    sign = lambda v: F.lower(group(trim(v), _SIGNED, 2))
-    return let(x, lambda v: let(parse_money(_unsigned(v)), lambda amount: let(sign(v), lambda s: rule(amount, s).cast(MONEY))))
+    return let(x, lambda v: let(parse_money(unsigned(v)), lambda amount: let(sign_of(v), lambda s: rule(amount, s))))
 
 
 def parse_signed_money(x: Column) -> Column:
     """Cr is positive, Dr negative, neither as written."""
-    return _signed(x, lambda amount, sign: F.when(sign == "dr", -F.abs(amount)).when(sign == "cr", F.abs(amount)).otherwise(amount))
+    return _signed(x, by_sign)
 
 
 def signed_money_error(x: Column) -> Column:
-    return money_error(_unsigned(x))
+    return money_error(unsigned(x))
 
 
 def parse_transaction_amount(x: Column) -> Column:
     """Cr is positive; all else is money out."""
-    return _signed(x, lambda amount, sign: F.when(sign == "cr", F.abs(amount)).otherwise(-F.abs(amount)))
+    return _signed(x, paid_out)
 
 
 def amounts_equal(a: Column, b: Column) -> Column:
@@ -122,9 +142,13 @@ def parse_bank_date(x: Column) -> Column:
     return let(trim(x), lambda t: F.coalesce(parse_date(t), F.when(t.rlike(_NAMED_DAY), named(t))))
 
 
+def bank_date_fault(x: Column) -> Column:
+    """What is wrong with a text that isn't a date."""
+    return F.coalesce(F.concat(F.lit("Invalid month: "), group(trim(x), _NAMED_DAY, 2)), F.concat(F.lit("Invalid date: "), x))
+
+
 def bank_date_error(x: Column) -> Column:
-    wrong = lambda v: F.coalesce(F.concat(F.lit("Invalid month: "), group(trim(v), _NAMED_DAY, 2)), F.concat(F.lit("Invalid date: "), v))
-    return let(x, lambda v: F.when(v.isNotNull() & parse_bank_date(v).isNull(), wrong(v)))
+    return let(x, lambda v: F.when(v.isNotNull() & parse_bank_date(v).isNull(), bank_date_fault(v)))
 
 
 def date_in_period(x: Column, first: Column, last: Column) -> Column:
