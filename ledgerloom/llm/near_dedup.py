@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, Words, bites, chain, free_name, numbered, spread_join, texts_of
+from .common import Scratch, Words, bites, chain, free_name, numbered, salts, spread_join, texts_of
 
 #: Bands in each of the two collections, and minhashes in a band.
 SIDE, HALF = 12, 2
@@ -290,10 +290,11 @@ def _groups(docs: DataFrame, width: int = 5, percent: int = 80, side: int = SIDE
     full = rows.where("n_shingles > 0")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
     classes = scratch.settle(full.groupBy("digest").agg(F.min("row").alias("row"), least.alias("first")))
-    reps = rows.join(classes.select("row"), "row", "left_semi")
+    # dealt out before each becomes SIDE**2 keys, so that a task's keys fit in memory
+    reps = rows.join(classes.select("row"), "row", "left_semi").repartition(salts(docs.sparkSession), "row")
     keys = reps.select("row", "n_shingles", F.posexplode("a").alias("i", "u"), "b").select("row", "n_shingles", "i", "u", F.posexplode("b").alias("j", "v"))
     keys = keys.select(F.xxhash64("i", "j", "u", "v").alias("key"), "row")
-    shared = keys.groupBy("key").count().where("count > 1").select("key")
+    shared = scratch.settle(keys.groupBy("key").count().where("count > 1").select("key"))  # and what it shuffled goes
     members = scratch.settle(keys.join(shared, "key", "left_semi"))
     members = scratch.settle(members.join(reps.select("row", "n_shingles"), "row"), members)
     comps = scratch.settle(members.select("row", F.col("row").alias("comp")).distinct(), members)
