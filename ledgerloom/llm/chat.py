@@ -2,33 +2,41 @@
 
 Logs often hold a conversation once for each turn it grew by. Rolling hashes of a conversation's turns identify every
 prefix of it; a conversation whose own hash is a proper prefix of another's is dropped by an anti-join, equal ones are
-kept once, and what remains is rendered. The hash rolls along a sorted conversation row by row and spills, so that a long
-one is never one value; only those that are rendered are gathered, each into the one text that it becomes.
+kept once, and what remains is rendered. Turns are placed by sorted ranges and the hash rolls by blocks of a conversation,
+without its texts, so that a long one is many tasks; only those that are rendered are gathered, each into the one text that
+it becomes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import Scratch, placed, running, spread_join
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
+#: Turns of a conversation that are hashed in one piece.
+BLOCK = 4096
 
 
-def _turn_hash(seed: int) -> Column:
-    """A 64-bit hash of a turn at its place; null differs from empty, and role from text."""
-    return F.xxhash64(F.lit(seed), "place", F.col("role").isNull(), "role", F.col("text").isNull(), "text").cast("decimal(20,0)")
+def _turn_hash(k: int) -> Column:
+    """60 bits of the SHA-256 of a turn at its place; null differs from empty, and role from text."""
+    part = lambda c: F.coalesce(F.concat(F.octet_length(c).cast("string"), F.lit(":"), c), F.lit("-"))
+    digest = F.sha2(F.concat(F.col("place").cast("string"), F.lit(":"), part("role"), part("text")).cast("binary"), 256)
+    return F.conv(F.substring(digest, 1 + 15 * k, 15), 16, 10).cast("long")
 
 
-def prefix_hashes(conversations: DataFrame) -> DataFrame:
-    """(conv_id, place, role, text, last, h0, h1): distinct turns in order, and the hash of all turns up to each: two sums of
-    hashes that depend on the place, 128 bits together."""
-    by, turn = Window.partitionBy("conv_id").orderBy("turn", "role", "text"), F.struct("turn", "role", "text")
-    turns = conversations.select("conv_id", "turn", "role", "text").withColumn("seen", F.lag(turn).over(by).eqNullSafe(turn)).where("NOT seen")
-    placed = turns.withColumns({"place": F.row_number().over(by), "last": F.lead(F.lit(1)).over(by).isNull()})
-    so_far = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return placed.select("conv_id", "place", "role", "text", "last", *[F.sum(_turn_hash(k)).over(so_far).alias(f"h{k}") for k in (0, 1)])
+def placed_turns(conversations: DataFrame, scratch: Scratch) -> DataFrame:
+    """(conv, place, role, text): the distinct turns of each conversation, a struct of its conv_id, in order; settled."""
+    turns = scratch.settle(conversations.select(F.struct("conv_id").alias("conv"), "turn", "role", "text").distinct())
+    return scratch.settle(placed(turns, ["conv"], ["turn", "role", "text"], "place", scratch).select("conv", "place", "role", "text"))
+
+
+def prefix_hashes(turns: DataFrame, scratch: Scratch) -> DataFrame:
+    """(conv, last, h0, h1) of placed turns: the hash of all turns up to each, 120 bits, the exclusive or of those of the turns."""
+    hashed = scratch.settle(turns.select("conv", "place", _turn_hash(0).alias("h0"), _turn_hash(1).alias("h1")))
+    rolled = running(hashed, "conv", "place", {"h0": F.bit_xor, "h1": F.bit_xor}, BLOCK, total=True)
+    return scratch.settle(rolled.select("conv", (F.col("place") + 1 == F.col("n_places")).alias("last"), "h0", "h1"))
 
 
 def render(turns: Column) -> Column:
@@ -46,11 +54,14 @@ def collapse(conversations: DataFrame) -> DataFrame:
     go by turn, null first; turns of the same number by role and text; rows that repeat count once. Turn numbers place
     turns but need not match between snapshots. Other columns are ignored; an empty table gives no rows.
     """
-    whole = settle(prefix_hashes(conversations))
-    first = F.min(F.struct(F.col("conv_id").isNull().alias("none"), "conv_id"))
+    scratch = Scratch()
+    turns = placed_turns(conversations, scratch)
+    whole = prefix_hashes(turns, scratch)
+    first = F.min(F.struct(F.col("conv.conv_id").isNull().alias("none"), "conv"))
     distinct = whole.where("last").groupBy("h0", "h1").agg(first.alias("first"), F.count("*").alias("n_same"))
     prefixes = whole.where("NOT last").select("h0", "h1").distinct()
-    maximal = distinct.join(prefixes, ["h0", "h1"], "left_anti").select(F.struct("first.conv_id").alias("conv"), "n_same")
-    kept = whole.select(F.struct("conv_id").alias("conv"), "place", "role", "text").join(maximal, "conv")
+    maximal = scratch.settle(distinct.join(prefixes, ["h0", "h1"], "left_anti").select("first.conv", "n_same"))
+    scratch.keep(turns, maximal)
+    kept = spread_join(turns, maximal, ["conv"])
     done = kept.groupBy("conv", "n_same").agg(F.array_sort(F.collect_list(F.struct("place", "role", "text"))).alias("turns"))
     return done.select("conv.conv_id", F.size("turns").cast("long").alias("n_turns"), "n_same", render(F.col("turns")).alias("rendered"))

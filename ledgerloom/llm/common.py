@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -140,6 +140,26 @@ def placed(rows: DataFrame, group: list[str], order: list[str], place: str, scra
     return written.join(parts, ["_group", "_range"]).withColumn(place, F.col("_at") + F.col("_shift")).drop("_group", "_range", "_at", "_shift")
 
 
+def running(rows: DataFrame, key: str, place: str, columns: dict[str, Callable[[Column | str], Column]], block: int, total: bool = False) -> DataFrame:
+    """rows with the named columns summed up to and with each row of its key, in order of place (from 0, without gaps), by
+    bit_xor or sum; with total, also the number of rows of the key as n_places.
+
+    A key is worked out in blocks of places, which are then put together by their totals; so a large one is many tasks. rows
+    should be settled: they are read twice. key isn't null (a struct of nulls is no null).
+    """
+    rows = rows.withColumn("_block", F.floor(F.col(place) / block).cast("long"))
+    inside = Window.partitionBy(key, "_block").orderBy(place).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = rows.withColumns({c: of(c).over(inside) for c, of in columns.items()})
+    blocks = rows.groupBy(key, "_block").agg(F.count("*").alias("_n"), *[of(c).alias(f"_{c}") for c, of in columns.items()])
+    before = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    more = [F.sum("_n").over(Window.partitionBy(key)).alias("n_places")] if total else []
+    earlier = blocks.select(key, "_block", *more, *[of(f"_{c}").over(before).alias(f"_{c}") for c, of in columns.items()])
+    earlier = earlier if total else earlier.where("_block > 0")
+    out = summed.join(earlier, [key, "_block"], "inner" if total else "left")
+    plus = lambda c: F.col(c).bitwiseXOR(F.coalesce(f"_{c}", F.lit(0))) if columns[c] is F.bit_xor else F.col(c) + F.coalesce(f"_{c}", F.lit(0))
+    return out.withColumns({c: plus(c) for c in columns}).drop("_block", *[f"_{c}" for c in columns])
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

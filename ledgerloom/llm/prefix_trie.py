@@ -17,10 +17,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, placed, spread_join
+from .common import Scratch, placed, running, spread_join
 
 #: Turns of a conversation that are summed in one piece, and bits of a conv_id within a piece of a list of members.
 BLOCK, PIECE_BITS = 4096, 12
@@ -71,17 +71,11 @@ def prefixes(rows: DataFrame, lengths: DataFrame, scratch: Scratch) -> DataFrame
     """(conv_id, depth, k0, k1, p0, p1, n_bytes, all_bytes, ends): the key of each prefix, that of the prefix without its last
     turn, the bytes of the last text and of all, and whether the conversation ends there; settled, by depth within files."""
     piece = lambda k: F.conv(F.substring(F.sha2(F.concat(F.col("place").cast("string"), F.lit(":"), "turn_sha").cast("binary"), 256), 1 + 15 * k, 15), 16, 10).cast("long")
-    rows = rows.withColumns({"o0": piece(0), "o1": piece(1), "block": F.floor(F.col("place") / BLOCK).cast("long")})
-    so_far = Window.partitionBy("conv_id", "block").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = rows.withColumns({"k0": F.bit_xor("o0").over(so_far), "k1": F.bit_xor("o1").over(so_far), "all_bytes": F.sum("n_bytes").over(so_far)})
-    totals = rows.groupBy("conv_id", "block").agg(F.bit_xor("o0").alias("b0"), F.bit_xor("o1").alias("b1"), F.sum("n_bytes").alias("b"))
-    before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = totals.select("conv_id", "block", *[F.bit_xor(c).over(before).alias(c) for c in ("b0", "b1")], F.sum("b").over(before).alias("b")).where("block > 0")
-    inside = inside.join(earlier, ["conv_id", "block"], "left")
-    plus = lambda c, b: F.col(c).bitwiseXOR(F.coalesce(F.col(b), F.lit(0)))
-    found = spread_join(inside, lengths, ["conv_id"])
-    k0, k1 = plus("k0", "b0"), plus("k1", "b1")
-    out = found.select("conv_id", (F.col("place") + 1).alias("depth"), k0.alias("k0"), k1.alias("k1"), k0.bitwiseXOR(F.col("o0")).alias("p0"), k1.bitwiseXOR(F.col("o1")).alias("p1"), "n_bytes", (F.col("all_bytes") + F.coalesce("b", F.lit(0))).alias("all_bytes"), (F.col("place") + 1 == F.col("length")).alias("ends"))
+    rows = rows.withColumns({"o0": piece(0), "o1": piece(1)}).withColumns({"k0": F.col("o0"), "k1": F.col("o1"), "all_bytes": F.col("n_bytes")})
+    found = running(rows, "conv_id", "place", {"k0": F.bit_xor, "k1": F.bit_xor, "all_bytes": F.sum}, BLOCK)
+    found = spread_join(found, lengths, ["conv_id"])
+    parents = [F.col("k0").bitwiseXOR(F.col("o0")).alias("p0"), F.col("k1").bitwiseXOR(F.col("o1")).alias("p1")]
+    out = found.select("conv_id", (F.col("place") + 1).alias("depth"), *_KEY, *parents, "n_bytes", "all_bytes", (F.col("place") + 1 == F.col("length")).alias("ends"))
     return scratch.settle(out.sortWithinPartitions("depth"))
 
 
