@@ -2,8 +2,8 @@
 
 The tokenizer drops white space and splits at it before merging, so a text has as many tokens as its ASCII-blank
 separated words have together. Each distinct word of the corpus is tokenized once. Words that make up at least one part
-in 2**21 of all occurrences, so 2**21 words at most, are broadcast with their counts and summed inside the scan; the
-frequencies of the others are joined with the vocabulary. No ids are kept.
+in 2**21 of all occurrences and aren't long, so 2**21 words and 112 MiB with their counts at most, are broadcast and summed
+inside the scan; the frequencies of the others are joined with the vocabulary. No ids are kept.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import Words, bites, hash_strings, settle, texts_of
 
-#: A word is frequent if it makes up this share of all words; at most 1 / SHARE words do.
-SHARE = 2.0**-21
+#: A word is frequent if it makes up this share of all words, as at most 1 / SHARE words do, and has so many bytes at most.
+SHARE, LONGEST = 2.0**-21, 48
 
 
 @lru_cache(maxsize=2)
@@ -64,7 +64,8 @@ def token_counts(docs: DataFrame, path: str, share: float = SHARE) -> DataFrame:
     """
     known = vocabulary(docs, path)
     total = known.agg(F.sum("n")).first()[0] or 0
-    head = known.where(F.col("n") >= share * total).select("word", "pieces").toPandas()
+    frequent_word = (F.col("n") >= share * total) & (F.octet_length("word") <= LONGEST)
+    head = known.where(frequent_word).select("word", "pieces").toPandas()
     shared = docs.sparkSession.sparkContext.broadcast((head["word"].tolist(), head["pieces"].to_numpy(np.int64)))
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
 
@@ -92,7 +93,7 @@ def token_counts(docs: DataFrame, path: str, share: float = SHARE) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], ["doc_id", "digest", "word", "times", "n_bytes", "copies"])
 
     rows = docs.select("doc_id", "text").mapInArrow(frequencies, f"doc_id {kind}, digest long, word string, times long, n_bytes long, copies long")
-    counted = rows.join(known.where(F.col("n") < share * total).select("word", "pieces"), "word", "left")
+    counted = rows.join(known.where(~frequent_word).select("word", "pieces"), "word", "left")
     tokens = F.sum(F.col("times") * F.coalesce("pieces", F.lit(1))).alias("n_tokens")
     out = counted.groupBy("doc_id", "digest").agg(tokens, F.sum("n_bytes").alias("n_bytes"), F.sum("copies").alias("copies"))
     each = [(F.col(c) / F.col("copies")).cast("long").alias(c) for c in ("n_bytes", "n_tokens")]
