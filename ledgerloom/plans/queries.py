@@ -16,10 +16,10 @@ from ..functions.text import explode_lines, normalize_text, text_or_fallback
 from ..operators import municipal, xfa
 from ..operators.bank import money_tokens
 from ..operators.layout import layout_documents
-from ..sources.readers import read_layout_items
+from ..sources.readers import read_extracted_text, read_layout_items, read_pdf_files
 from ..sources.shared import new_table
 from ..sources.streams import NO_DATASET, xfa_datasets
-from ..sources.writers import bank_csv_rows, csv_line, municipal_csv_rows
+from ..sources.writers import bank_csv_rows, csv_line, municipal_csv_rows, write_text_files
 from . import render
 from .jobs import bank_envelope, bank_job, corpus_report, envelope, municipal_job, stored_bank_job, strategy_report
 
@@ -485,6 +485,26 @@ FROM c
 )
 
 
+def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a file of its own, read again as bytes and as text; each second one starts as a PDF does."""
+    start = F.when(F.col("page_id") % 2 == 0, "%PDF-1.7\n").otherwise("")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("doc_id"), F.concat(start, F.coalesce("html", F.lit(""))).alias("text"))
+    path = new_table(spark, "page-files")
+    write_text_files(pages, path)
+    page = lambda: F.regexp_extract("doc_id", r"doc_id=(\d+)/", 1).cast("long").alias("page_id")
+    files = read_pdf_files(spark, path).select(page(), "error_code", F.octet_length("content").cast("long").alias("n_bytes"), F.col("source_file_name").alias("name"))
+    texts = read_extracted_text(spark, path).select(page(), F.regexp_replace("text", r"\n\z", "").alias("text"), "source_file_name")
+    both = files.join(texts, "page_id")
+    return both.select("page_id", "error_code", "n_bytes", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), (F.col("name") == F.col("source_file_name")).alias("same_name"))
+
+
+PAGE_FILES = """
+SELECT page_id, CASE WHEN page_id % 2 <> 0 THEN 'INVALID_PDF' END AS error_code, CASE WHEN page_id % 2 = 0 THEN strlen(coalesce(html, '')) + 10 END AS n_bytes,
+  sha256(CASE WHEN page_id % 2 = 0 THEN '%PDF-1.7' || chr(10) ELSE '' END || coalesce(html, '')) AS text_sha256, true AS same_name
+FROM pages
+"""
+
+
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line split and normal form of every text."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
@@ -534,7 +554,7 @@ SELECT page_id, nullif({_DECODED.format("regexp_replace(" + _STRIPPED.format("t"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (bank_reconciliation, bank_lines, bank_issues, bank_csv, bank_report, bank_envelopes, municipal_sections, municipal_checks, municipal_csv, municipal_invoices, municipal_layout, municipal_forms, municipal_consolidation, municipal_report, municipal_envelopes, bank_routes, municipal_form_errors, municipal_invoice_variants, municipal_diagnostics, municipal_strategy_report, layout_files, pdf_extraction, pdf_streams, document_lines, document_amounts, page_blocks)
+    for f in (bank_reconciliation, bank_lines, bank_issues, bank_csv, bank_report, bank_envelopes, municipal_sections, municipal_checks, municipal_csv, municipal_invoices, municipal_layout, municipal_forms, municipal_consolidation, municipal_report, municipal_envelopes, bank_routes, municipal_form_errors, municipal_invoice_variants, municipal_diagnostics, municipal_strategy_report, layout_files, page_files, pdf_extraction, pdf_streams, document_lines, document_amounts, page_blocks)
 }
 SQL: dict[str, str] = {
     "bank_reconciliation": BANK_RECONCILIATION,
@@ -558,6 +578,7 @@ SQL: dict[str, str] = {
     "municipal_diagnostics": MUNICIPAL_DIAGNOSTICS,
     "municipal_strategy_report": MUNICIPAL_STRATEGY_REPORT,
     "layout_files": LAYOUT_FILES,
+    "page_files": PAGE_FILES,
     "pdf_extraction": PDF_EXTRACTION,
     "pdf_streams": PDF_STREAMS,
     "document_lines": DOCUMENT_LINES,

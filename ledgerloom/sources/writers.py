@@ -46,6 +46,12 @@ def write_text(docs: DataFrame, path: str) -> None:
     docs.select("doc_id", "text").write.parquet(path)
 
 
+def write_text_files(docs: DataFrame, path: str) -> None:
+    """(doc_id, text) as a text file for each document, in a folder doc_id=... of its own; the text ends with a line end more."""
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartition(n, "doc_id").write.partitionBy("doc_id").text(path)
+
+
 def route(results: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents that succeeded, and those that failed: these keep their errors and no data."""
     return results.where("ok"), results.where("NOT ok")
