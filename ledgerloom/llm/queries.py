@@ -57,6 +57,22 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(documents(spark, sf_dir), width=2).drop("row")
 
 
+OP5_SQL = rf"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT row, doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS grams FROM docs),
+flat AS (SELECT row, len(grams) AS n, unnest(grams) AS gram FROM sets),
+links AS (
+  SELECT a.row AS x, b.row AS y FROM flat a JOIN flat b ON a.gram = b.gram AND a.row < b.row AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY ALL HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT row AS x, row AS y FROM sets UNION SELECT r.x, e.y FROM reach r JOIN edges e ON r.y = e.x),
+firsts AS (SELECT x AS row, min(doc_id) AS component_id FROM reach JOIN sets s ON s.row = y GROUP BY x)
+SELECT doc_id, len(grams)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN firsts USING (row)
+"""
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
 
@@ -98,6 +114,43 @@ def op8_secret_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(documents(spark, sf_dir))
 
 
+_ASSIGN = "(?:" + "|".join("".join(f"[{c.upper()}{c}]" for c in name) for name in ("password", "passwd", "secret", "token", "api_key", "apikey")).replace("[__]", "_") + r""")[\"'']?\x20*[:=]\x20*[\"'']?([A-Za-z0-9+/_.=-]+)"""
+_KINDS = {"assign": _ASSIGN, "access": "(AKIA[A-Z0-9]+)", "hex": "([0-9a-f]+)", "token": "([A-Za-z0-9+/_-]+)"}
+
+
+def _places(kind: str) -> str:
+    """(row, owner, repository, kind, rank, start, stop, value) of all matches: between them is what splitting leaves."""
+    return f"""SELECT row, owner, repository, '{kind}' AS kind, {list(_KINDS).index(kind)} AS rank, value,
+    sum(length(before) + length(whole)) OVER w - length(whole) AS start, sum(length(before) + length(whole)) OVER w AS stop
+  FROM (SELECT row, owner, repository, unnest(regexp_extract_all(t, '{_KINDS[kind]}', 1)) AS value, unnest(regexp_extract_all(t, '{_KINDS[kind]}')) AS whole,
+      unnest(string_split_regex(t, '{_KINDS[kind]}')) AS before, generate_subscripts(string_split_regex(t, '{_KINDS[kind]}'), 1) AS k FROM docs)
+  WHERE whole IS NOT NULL WINDOW w AS (PARTITION BY row ORDER BY k)"""
+
+
+def _written(condition: str) -> str:
+    return f"coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (WHERE {condition}), '')"
+
+
+OP8_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, source AS owner, doc_id AS repository, coalesce(text, '') AS t FROM documents),
+matches AS ({" UNION ALL ".join(f"({_places(kind)})" for kind in _KINDS)}),
+base AS (SELECT * FROM matches WHERE CASE kind WHEN 'assign' THEN length(value) >= 6 WHEN 'access' THEN length(value) >= 20 WHEN 'hex' THEN length(value) >= 24 ELSE false END),
+tokens AS (
+  SELECT * FROM matches m WHERE kind = 'token' AND length(value) >= 20 AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')
+    AND NOT EXISTS (FROM base b WHERE b.row = m.row AND b.start < m.stop AND b.stop > m.start)),
+found AS (SELECT * FROM base UNION ALL SELECT * FROM tokens),
+spread AS (
+  SELECT value, count(DISTINCT coalesce('o' || owner, 'n')) > {secrets.MOST_OWNERS} OR count(DISTINCT coalesce('r' || repository, 'n')) > {secrets.MOST_REPOSITORIES} AS example
+  FROM found GROUP BY value),
+judged AS (
+  SELECT f.*, example, NOT example AND list_aggregate(string_split(value, ''), 'entropy') >= {secrets.LEAST_BITS} AS live FROM found f JOIN spread USING (value))
+SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+  sha256({_written("kind <> 'token'")}) AS base_sha256, {_written("kind <> 'token' OR live")} AS spans,
+  coalesce(sum(live::BIGINT), 0)::BIGINT AS n_live, coalesce(sum(example::BIGINT), 0)::BIGINT AS n_example
+FROM docs LEFT JOIN judged USING (row) GROUP BY row, doc_id
+"""
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
@@ -229,7 +282,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 SQL: dict[str, str] = {
     "op4_chat_collapse": OP4_SQL,
+    "op5_minhash_near_dedup": OP5_SQL,
     "op7_mix_sources": OP7_SQL,
+    "op8_secret_owners": OP8_SQL,
     "op10_exact_dedup": OP10_SQL,
     "op11_prefix_trie": OP11_SQL,
     "op12_merkle_manifest": OP12_SQL,
