@@ -33,3 +33,9 @@ def test_trim_takes_all_white_space(spark):
     texts = [wide + "a" + wide + "b" + wide, wide, kept + "a" + kept, "", None]
     assert values(spark, texts, S.trim, S.collapse) == [("a" + wide + "b", "a b"), ("", ""), (kept + "a" + kept,) * 2, ("", ""), (None, None)]
     assert values(spark, [c for c in wide + kept], lambda x: F.regexp_replace(x, S.WS, "")) == [""] * len(wide) + list(kept)
+
+
+def test_nested_results_are_written_as_json_once(spark):
+    for name in ("bank_envelopes", "municipal_envelopes"):
+        plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("to_json(") == 1
