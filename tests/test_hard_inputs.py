@@ -39,3 +39,8 @@ def test_nested_results_are_written_as_json_once(spark):
     for name in ("bank_envelopes", "municipal_envelopes"):
         plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("to_json(") == 1
+
+
+def test_variants_are_parsed_once(spark):
+    plan = queries.QUERIES["municipal_invoice_variants"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate posexplode") == 1
