@@ -1,10 +1,14 @@
 """Queries against their SQL on inputs that the given tables don't have, and scalars on them."""
 
+import random
+
 import duckdb
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import scalars as S
-from ledgerloom.plans import queries
+from ledgerloom.operators.layout import layout_documents
+from ledgerloom.plans import queries, render
+from ledgerloom.sources.readers import ITEMS_SCHEMA
 
 from .test_text import values
 
@@ -44,3 +48,40 @@ def test_nested_results_are_written_as_json_once(spark):
 def test_variants_are_parsed_once(spark):
     plan = queries.QUERIES["municipal_invoice_variants"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Generate posexplode") == 1
+
+
+def plain_layout(items):
+    """Lines of a page's (text, x, y, width, height), one item after the other."""
+    rows = []
+    for text, x, y, width, height in sorted(items, key=lambda i: (-i[2], i[1], i[0])):
+        row = next((r for r in rows if abs(r[0][2] - y) <= max(2, height / 2)), None)
+        if row is None:
+            rows.append(row := [])
+        row.append((text, x, y, width, height))
+    lines = []
+    for row in rows:
+        line, right = "", None
+        for text, x, y, width, _ in sorted(row, key=lambda i: (i[1], -i[2], i[0])):
+            gap = 0 if right is None else x - right
+            line, right = line + ("  " if gap > 18 else " " if gap > 2 else "") + text, max(right or x + width, x + width)
+        lines.append(line.strip())
+    return "\n".join(lines)
+
+
+def test_layout_of_crowded_and_tall_items(spark):
+    """Rows closer than the items are high, and titles that reach over several rows."""
+    rng = random.Random(3)
+    pages = {f"d{d}": [(f"t{i}", float(rng.randrange(300)), rng.randrange(400) / 4, float(rng.randrange(1, 30)), rng.choice([1.0, 8.0, 8.0, 30.0])) for i in range(rng.choice([1, 3, 40]))] for d in range(40)}
+    rows = [(d, 1, *i) for d, items in pages.items() for i in items]
+    found = layout_documents(spark.createDataFrame(rows, ITEMS_SCHEMA)).collect()
+    assert {r["doc_id"]: (r["text"], r["item_count"]) for r in found} == {d: (plain_layout(items), len(items)) for d, items in pages.items()}
+
+
+def test_bands_of_one_row_are_not_laid_out_item_by_item(spark, capsys):
+    """Items are cut without a function of arrays, and rows of their own aren't folded."""
+    items = render.layout_items(spark.createDataFrame([("1", ["Total Due 12.00", "Amount"])], "doc_id string, lines array<string>"))
+    assert sorted((r["text"], r["y"]) for r in items.collect()) == [("12.00", 801.0), ("Amount", 790.0), ("Total Due", 800.0)]
+    items.explain("formatted")
+    assert "lambda" not in capsys.readouterr().out
+    layout_documents(items).explain("formatted")
+    assert "band" in capsys.readouterr().out
