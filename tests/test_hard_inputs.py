@@ -6,6 +6,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import scalars as S
+from ledgerloom.operators import municipal
 from ledgerloom.operators.layout import layout_documents
 from ledgerloom.plans import queries, render
 from ledgerloom.sources.readers import ITEMS_SCHEMA
@@ -85,3 +86,17 @@ def test_bands_of_one_row_are_not_laid_out_item_by_item(spark, capsys):
     assert "lambda" not in capsys.readouterr().out
     layout_documents(items).explain("formatted")
     assert "band" in capsys.readouterr().out
+
+
+def test_sections_in_any_order_and_amounts_without_digits_before_the_point(spark):
+    """Payments run from their first heading to the end, whatever stands there; what a document has once is carried once."""
+    head = "Account Number: 1\nBilling Period: 2026-01-01 to 2026-01-31\n"
+    turned = head + "Payments:\n2026-01-02 | Paid | -5.00 | A\nCHARGES\n2026-01-03 Water 7.00 B"
+    invoice = "TAX INVOICE Statement for January 2026\nAccount Number: 1\nPrevious Account Balance 0.00\nTotal Due 1.50\nInterest on Arrears .50\nWater\nAmount\nUsage 1.00"
+    found = municipal.standard_text(spark.createDataFrame([("turned", turned), ("invoice", invoice)], "doc_id string, text string"))
+    rows = {r["doc_id"]: r for r in found.collect()}
+    items = lambda d: [(x["kind"], x["description"], str(x["amount"])) for x in rows[d]["items"]]
+    assert items("turned") == [("charge", "Water", "7.00"), ("payment", "Paid", "-5.00"), ("payment", "Water", "7.00")]
+    assert [w["message"] for w in rows["turned"]["warnings"]] == ["Skipped unrecognized line: CHARGES"]
+    assert items("invoice") == [("charge", "Water: Usage", "1.00"), ("charge", "Interest on Arrears", "0.50")]
+    assert "first(account_number" not in found._jdf.queryExecution().optimizedPlan().toString()
