@@ -1,11 +1,13 @@
 """Municipal statements: sections, invoices, forms, positioned items and their consolidation."""
 
+import re
 import zlib
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.scalars import let
 from ledgerloom.operators import consolidate, municipal, xfa
 from ledgerloom.operators.layout import layout_documents
 from ledgerloom.plans.jobs import envelope, municipal_job
@@ -223,3 +225,24 @@ def test_sections_and_invoices_are_parsed_once(spark):
     docs = spark.createDataFrame([("d", "x")], "doc_id string, text string")
     plan = municipal.standard_text(docs)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Scan ExistingRDD") == 1 and "Union" not in plan
+
+
+def test_a_bound_value_is_not_put_into_arrays(spark):
+    """Arrays of one would copy each bound value and each result."""
+    plan = spark.range(1).select(let(F.col("id") + 1, lambda v: v * v))._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(" not in plan and spark.range(1).select(let(F.lit(None).cast("int"), lambda v: v.isNull())).first()[0] is True
+
+
+def test_blocks_end_at_the_first_end(spark):
+    """As by the plain pattern: other tags inside, either case, line ends, none closed, nested; no look at every letter."""
+    texts = ["<a>x<b>y</b>\nz</A><a k='1'></a>", "<a>1<a>2</a>3</a>", "<a>open <a>shut</a> <a>", "<ab>1</ab><a >< /a></a></a>", "", "<a></a>", "<a>" + "<i>x" * 20000 + "</a>"]
+    docs = spark.createDataFrame([(x,) for x in texts], "x string")
+    plain = r"(?is)<a\b[^>]*>(.*?)</a>"
+    rows = docs.select(xfa.blocks(F.col("x"), "a").alias("own"), F.regexp_extract_all("x", F.lit(plain), F.lit(1)).alias("plain"), xfa.first_block(F.col("x"), "a").alias("first")).collect()
+    assert all(r.own == r.plain and r.first == (r.plain[0] if r.plain else None) for r in rows) and ".*?" not in xfa._block("a")
+
+
+def test_lines_that_end_as_nothing_are_left_out_after_headings(spark):
+    docs = spark.createDataFrame([("d", INLINE)], "doc_id string, text string")
+    plan = municipal.standard_text(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Filter .*isnotnull\(head.*\n(?:.*\n)*.*Window", plan)
