@@ -30,6 +30,11 @@ def cents(x: str | Column) -> Column:
     return (F.col(x) if isinstance(x, str) else x).cast("decimal(18,2)").cast("decimal(20,2)").__mul__(100).cast("long")
 
 
+def _digest(x: str | Column) -> Column:
+    """SHA-256 of a text, so that texts that are held against each other needn't be shuffled."""
+    return F.sha2((F.col(x) if isinstance(x, str) else x).cast("binary"), 256)
+
+
 def _bank(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return bank_job(render.bank_documents(spark, sf_dir))
 
@@ -334,8 +339,10 @@ def pdf_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = files.select("doc_id", F.when(F.col("good"), F.col("content")).alias("content"), F.when(~F.col("good"), "INVALID_PDF").alias("error_code"), F.lit(None).cast("string").alias("error_message"))
     text = text_or_fallback(files.select("doc_id", F.lit(None).cast("string").alias("text"), "content")).select("doc_id", F.col("text").alias("found"), F.col("error_code").alias("text_error"))
     forms = xfa_datasets(files).select("doc_id", F.col("xml").alias("form"), "error_code")
-    out = docs.join(text, "doc_id").join(forms, "doc_id").join(xml, "doc_id")
-    return out.select("doc_id", "error_code", "text_error", (F.col("found") == normalize_text(F.col("text"))).alias("same_text"), (F.col("form") == F.col("xml")).alias("same_form"))
+    put = docs.select("doc_id", _digest(normalize_text(F.col("text"))).alias("text")).join(xml.select("doc_id", _digest("xml").alias("xml")), "doc_id")
+    found = text.select("doc_id", _digest("found").alias("found"), "text_error").join(forms.select("doc_id", _digest("form").alias("form"), "error_code"), "doc_id")
+    out = put.join(found, "doc_id")
+    return out.select("doc_id", "error_code", "text_error", (F.col("found") == F.col("text")).alias("same_text"), (F.col("form") == F.col("xml")).alias("same_form"))
 
 
 PDF_EXTRACTION = """
@@ -373,7 +380,7 @@ def pdf_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     xml = render.xfa_documents(render.municipal_base(spark, sf_dir))
     none = F.lit(None).cast("string")
     forms = xfa_datasets(render.packed_files(xml).withColumns({"error_code": none, "error_message": none}))
-    found = forms.select("doc_id", F.col("xml").alias("form"), "error_code").join(xml, "doc_id")
+    found = forms.select("doc_id", _digest("xml").alias("form"), "error_code").join(xml.select("doc_id", _digest("xml").alias("xml")), "doc_id")
     return found.select("doc_id", "error_code", (F.col("form") == F.col("xml")).alias("same_form"))
 
 

@@ -151,3 +151,12 @@ def test_a_query_against_sql(spark):
     columns = sorted(found.columns)
     rows = sorted(tuple(str(r[c]) for c in columns) for r in found.collect())
     assert rows == sorted(tuple(map(str, r)) for r in con.sql(f"SELECT {', '.join(columns)} FROM ({queries.BANK_RECONCILIATION})").fetchall())
+
+
+def test_texts_that_are_compared_stay_where_they_are(spark):
+    """Joins of the PDF queries move digests of texts and datasets, not these."""
+    from ledgerloom.plans.queries import pdf_extraction, pdf_streams
+
+    for query, digests in ((pdf_streams, 2), (pdf_extraction, 4)):
+        plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("sha2(") == digests
