@@ -498,11 +498,11 @@ def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("doc_id"), F.concat(start, F.coalesce("html", F.lit(""))).alias("text"))
     path = new_table(spark, "page-files")
     write_text_files(pages, path)
-    page = lambda: F.regexp_extract("doc_id", r"doc_id=(\d+)/", 1).cast("long").alias("page_id")
+    page = lambda: F.regexp_extract("doc_id", r"doc_id=(\d+)[./]", 1).cast("long").alias("page_id")
     files = read_pdf_files(spark, path).select(page(), "error_code", F.octet_length("content").cast("long").alias("n_bytes"), F.col("source_file_name").alias("name"))
-    texts = read_extracted_text(spark, path).select(page(), F.regexp_replace("text", r"\n\z", "").alias("text"), "source_file_name")
+    texts = read_extracted_text(spark, path).select(page(), _digest(F.regexp_replace("text", r"\n\z", "")).alias("text_sha256"), "source_file_name")
     both = files.join(texts, "page_id")
-    return both.select("page_id", "error_code", "n_bytes", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), (F.col("name") == F.col("source_file_name")).alias("same_name"))
+    return both.select("page_id", "error_code", "n_bytes", "text_sha256", (F.col("name") == F.col("source_file_name")).alias("same_name"))
 
 
 PAGE_FILES = """

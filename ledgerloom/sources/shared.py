@@ -25,3 +25,10 @@ def shared_dir(spark: SparkSession) -> str:
 def new_table(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing uses yet."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def mounted(spark: SparkSession, path: str) -> str | None:
+    """The path by which open() reaches a folder, on the driver as on executors; None in a store that only Spark reaches."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = found.getFileSystem(spark._jsc.hadoopConfiguration())
+    return store.makeQualified(found).toUri().getPath() if store.getUri().getScheme() == "file" else None

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+import os
+import re
+from collections.abc import Iterable
+from itertools import groupby
+
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Observation, Row
 from pyspark.sql import functions as F
 
 from ..functions.scalars import plain_number
+from .shared import mounted
 
 _CSV = {"header": True, "escape": '"', "emptyValue": "", "nullValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
@@ -47,9 +54,38 @@ def write_text(docs: DataFrame, path: str) -> None:
 
 
 def write_text_files(docs: DataFrame, path: str) -> None:
-    """(doc_id, text) as a text file for each document, in a folder doc_id=... of its own; the text ends with a line end more."""
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartition(n, "doc_id").write.partitionBy("doc_id").text(path)
+    """(doc_id, text) as a text file for each document; the text ends with a line end more. Where the folder is mounted, a task
+    writes its files doc_id=....txt into one folder; in other stores Spark writes each into a folder doc_id=... of its own."""
+    spark = docs.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartition(n, "doc_id")
+    folder = mounted(spark, path)
+    if folder is None:
+        docs.write.partitionBy("doc_id").text(path)
+        return
+    os.makedirs(folder)
+    rows = docs.select(F.col("doc_id").cast("string"), F.col("text").cast("binary"))
+    rows.sortWithinPartitions("doc_id").foreachPartition(lambda part: _write_files(part, folder))
+
+
+def _write_files(rows: Iterable[Row], folder: str) -> None:
+    """Rows of the same doc_id, which come one after the other, go into one file. A file gets its name once it is whole, so a
+    task may run twice."""
+    task = TaskContext.get()
+    own = os.path.join(folder, f"part-{task.partitionId():05d}")
+    unfinished = os.path.join(own, f".{task.taskAttemptId()}")
+    os.makedirs(own, exist_ok=True)
+    for name, same in groupby(rows, lambda row: _path_name(row.doc_id)):
+        with open(unfinished, "wb") as file:
+            for row in same:
+                file.write(row.text)
+                file.write(b"\n")
+        os.replace(unfinished, os.path.join(own, f"doc_id={name}.txt"))
+
+
+def _path_name(value: str | None) -> str:
+    """As Spark names the folder of a value."""
+    return re.sub(r"""[\x00-\x1f\x7f"#%'*/:=?\\{\[\]^]""", lambda m: f"%{ord(m[0]):02X}", value) if value else "__HIVE_DEFAULT_PARTITION__"
 
 
 def route(results: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -160,3 +160,40 @@ def test_texts_that_are_compared_stay_where_they_are(spark):
     for query, digests in ((pdf_streams, 2), (pdf_extraction, 4)):
         plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("sha2(") == digests
+
+
+def test_text_files(spark, tmp_path):
+    """A folder for each task and not for each document; files hold the bytes of their texts, whatever ids and texts are."""
+    rows = [(f"in/{k}: 100%.gz", f"text {k}\r\n\u00e9") for k in range(40)] + [("_a", None), (".b", ""), ("c", "1"), ("c", "1"), (None, "2")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    path = tmp_path / "texts"
+    writers.write_text_files(docs, f"file://{path}")
+    assert len(list(path.iterdir())) <= 4
+    found = {p.name.removeprefix("doc_id=").removesuffix(".txt"): p.read_bytes().decode() for p in path.rglob("*") if p.is_file()}
+    wanted = {f"in%2F{k}%3A 100%25.gz": f"text {k}\r\n\u00e9\n" for k in range(40)}
+    assert found == wanted | {"_a": "\n", ".b": "\n", "c": "1\n1\n", "__HIVE_DEFAULT_PARTITION__": "2\n"}
+    assert sorted(r.text for r in readers.read_extracted_text(spark, str(path)).collect()) == sorted(found.values())
+    none = str(tmp_path / "none")
+    writers.write_text_files(docs.where("false"), none)
+    assert readers.read_extracted_text(spark, none).count() == 0
+
+
+def test_text_files_in_a_store_that_only_spark_reads(spark, tmp_path):
+    (tmp_path / "store").mkdir()
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.texts.link./in", f"file://{tmp_path}/store")
+    docs = spark.createDataFrame([(1, "a\nb"), (2, None)], "doc_id long, text string")
+    writers.write_text_files(docs, "viewfs://texts/in/files")
+    found = readers.read_extracted_text(spark, "viewfs://texts/in/files")
+    assert sorted((r.doc_id.split("/")[-2], r.text) for r in found.collect()) == [("doc_id=1", "a\nb\n"), ("doc_id=2", "\n")]
+
+
+def test_page_files_against_sql(spark):
+    """Pages are joined by their digests, as the SQL has them."""
+    path = "/root/testdata/sf0.001"
+    found = queries.page_files(spark, path)
+    assert "sha2(" not in found._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{path}/pages.parquet'")
+    columns = sorted(found.columns)
+    rows = sorted(tuple(str(r[c]) for c in columns) for r in found.collect())
+    assert rows == sorted(tuple(map(str, r)) for r in con.sql(f"SELECT {', '.join(columns)} FROM ({queries.PAGE_FILES})").fetchall())
