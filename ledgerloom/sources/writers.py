@@ -15,6 +15,8 @@ from ..functions.scalars import plain_number
 from .shared import mounted
 
 _CSV = {"header": True, "escape": '"', "emptyValue": "", "nullValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+#: Files of a folder at most, so that many files are listed by many tasks.
+FOLDER = 2000
 
 
 def bank_csv_rows(lines: DataFrame) -> DataFrame:
@@ -55,7 +57,7 @@ def write_text(docs: DataFrame, path: str) -> None:
 
 def write_text_files(docs: DataFrame, path: str) -> None:
     """(doc_id, text) as a text file for each document; the text ends with a line end more. Where the folder is mounted, a task
-    writes its files doc_id=....txt into one folder; in other stores Spark writes each into a folder doc_id=... of its own."""
+    writes its files doc_id=....txt into folders of FOLDER files; in other stores Spark writes each into a folder doc_id=... of its own."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartition(n, "doc_id")
@@ -65,17 +67,18 @@ def write_text_files(docs: DataFrame, path: str) -> None:
         return
     os.makedirs(folder)
     rows = docs.select(F.col("doc_id").cast("string"), F.col("text").cast("binary"))
-    rows.sortWithinPartitions("doc_id").foreachPartition(lambda part: _write_files(part, folder))
+    rows.sortWithinPartitions("doc_id").foreachPartition(lambda part: _write_files(part, folder, FOLDER))
 
 
-def _write_files(rows: Iterable[Row], folder: str) -> None:
-    """Rows of the same doc_id, which come one after the other, go into one file. A file gets its name once it is whole, so a
-    task may run twice."""
+def _write_files(rows: Iterable[Row], folder: str, most: int) -> None:
+    """Rows of the same doc_id, which come one after the other, go into one file. A file gets its name once it is whole and its
+    place follows from the order, so a task may run twice."""
     task = TaskContext.get()
-    own = os.path.join(folder, f"part-{task.partitionId():05d}")
-    unfinished = os.path.join(own, f".{task.taskAttemptId()}")
-    os.makedirs(own, exist_ok=True)
-    for name, same in groupby(rows, lambda row: _path_name(row.doc_id)):
+    for k, (name, same) in enumerate(groupby(rows, lambda row: _path_name(row.doc_id))):
+        if k % most == 0:
+            own = os.path.join(folder, f"part-{task.partitionId():05d}-{k // most:05d}")
+            os.makedirs(own, exist_ok=True)
+        unfinished = os.path.join(own, f".{task.taskAttemptId()}")
         with open(unfinished, "wb") as file:
             for row in same:
                 file.write(row.text)

@@ -162,8 +162,8 @@ def test_texts_that_are_compared_stay_where_they_are(spark):
         assert plan.count("sha2(") == digests
 
 
-def test_text_files(spark, tmp_path):
-    """A folder for each task and not for each document; files hold the bytes of their texts, whatever ids and texts are."""
+def test_text_files(spark, tmp_path, monkeypatch):
+    """Folders hold many files each; files hold the bytes of their texts, whatever ids and texts are."""
     rows = [(f"in/{k}: 100%.gz", f"text {k}\r\n\u00e9") for k in range(40)] + [("_a", None), (".b", ""), ("c", "1"), ("c", "1"), (None, "2")]
     docs = spark.createDataFrame(rows, "doc_id string, text string")
     path = tmp_path / "texts"
@@ -173,6 +173,10 @@ def test_text_files(spark, tmp_path):
     wanted = {f"in%2F{k}%3A 100%25.gz": f"text {k}\r\n\u00e9\n" for k in range(40)}
     assert found == wanted | {"_a": "\n", ".b": "\n", "c": "1\n1\n", "__HIVE_DEFAULT_PARTITION__": "2\n"}
     assert sorted(r.text for r in readers.read_extracted_text(spark, str(path)).collect()) == sorted(found.values())
+    monkeypatch.setattr(writers, "FOLDER", 3)
+    writers.write_text_files(docs, str(tmp_path / "small"))
+    assert sorted(p.name for p in (tmp_path / "small").glob("*/*")) == sorted(p.name for p in path.glob("*/*"))
+    assert max(len(list(p.iterdir())) for p in (tmp_path / "small").iterdir()) == 3
     none = str(tmp_path / "none")
     writers.write_text_files(docs.where("false"), none)
     assert readers.read_extracted_text(spark, none).count() == 0
