@@ -246,3 +246,41 @@ def test_lines_that_end_as_nothing_are_left_out_after_headings(spark):
     docs = spark.createDataFrame([("d", INLINE)], "doc_id string, text string")
     plan = municipal.standard_text(docs)._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(r"Filter .*isnotnull\(head.*\n(?:.*\n)*.*Window", plan)
+
+
+def _plan(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_invoices_are_cut_at_their_headings(spark):
+    """Parts of a text go through the window, and not each of its lines; blocks are looked at from their first lines."""
+    docs = spark.createDataFrame([("a", INLINE)], "doc_id string, text string")
+    plan = municipal.standard_text(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Generate posexplode\(parts", plan)
+
+
+def test_categories_of_invoice_lines(spark):
+    """Bare totals count before the first heading only; a heading may end in a next-line sign; blanks of any kind are one."""
+    text = HEAD + "Lost 1.00\nVAT 4760117194Sub - TotalTotal\nLevy  \t2.00\nPikitup\u0085\nBin 3.00\u0085\nVAT 4760117194Sub - TotalTotal\nBag - 4.00\nWater  & Sanitation VAT 4760117194 Sub -Total Total\n5.00\nVAT: 15.00% 6.00 7.00\n"
+    row = municipal.standard_text(spark.createDataFrame([("a", text)], "doc_id string, text string")).first()
+    assert [x[2:] for x in lines(row)] == [("COJ Charges: Levy", "2.00"), ("PIKITUP: Bin", "3.00"), ("PIKITUP: Bag", "-4.00"), ("Water & Sanitation: VAT 15.00%", "6.00")]
+    assert [w.message for w in row.warnings][:1] == ["Skipped unrecognized charge line in Water & Sanitation."]
+
+
+def test_long_block_of_labels(spark):
+    """A block of more lines than are looked at first."""
+    labels = [f"Label {k}" for k in range(20)]
+    text = HEAD + "\n".join(["Previous Account Balance", *labels, "Total Due", "50.00", *["1.00"] * 20, "70.00"]) + "\nVAT 4760117194Sub - TotalTotal\nLevy20.00\n"
+    row = municipal.standard_text(spark.createDataFrame([("a", text)], "doc_id string, text string")).first()
+    assert (row.opening_balance, row.closing_balance) == (Decimal("50.00"), Decimal("70.00"))
+
+
+def test_items_are_gathered_before_they_are_shuffled(spark):
+    """Items of a page go through the shuffle as one row, so they are neither sorted one by one nor windowed."""
+    rows = [("a", 1, "Title", 10.0, 800.0, 50.0, 40.0)] + [("a", 1, f"row {k}", 10.0, 780.0 - 12 * k, 25.0, 8.0) for k in range(30)]
+    rows += [("a", 1, f"{k}.00", 60.0, 781.0 - 12 * k, 25.0, 8.0) for k in range(30)]
+    found = layout_documents(spark.createDataFrame(rows, "doc_id string, page int, text string, x double, y double, width double, height double").repartition(3))
+    assert "Window" not in _plan(found)
+    row = found.first()
+    assert row.text == "\n".join(["Title", *[f"row {k}  {k}.00" for k in range(30)]])
+    assert (row.pages, row.item_count) == (1, 61)
