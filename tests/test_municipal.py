@@ -276,11 +276,12 @@ def test_long_block_of_labels(spark):
 
 
 def test_items_are_gathered_before_they_are_shuffled(spark):
-    """Items of a page go through the shuffle as one row, so they are neither sorted one by one nor windowed."""
+    """Items of a document go through one shuffle as one row, so they are neither sorted one by one nor windowed."""
     rows = [("a", 1, "Title", 10.0, 800.0, 50.0, 40.0)] + [("a", 1, f"row {k}", 10.0, 780.0 - 12 * k, 25.0, 8.0) for k in range(30)]
     rows += [("a", 1, f"{k}.00", 60.0, 781.0 - 12 * k, 25.0, 8.0) for k in range(30)]
     found = layout_documents(spark.createDataFrame(rows, "doc_id string, page int, text string, x double, y double, width double, height double").repartition(3))
-    assert "Window" not in _plan(found)
+    plan = _plan(found)
+    assert "Window" not in plan and len(re.findall(r"Exchange hashpartitioning\(doc_id[^,]*, \d", plan)) == 1
     row = found.first()
     assert row.text == "\n".join(["Title", *[f"row {k}  {k}.00" for k in range(30)]])
     assert (row.pages, row.item_count) == (1, 61)
